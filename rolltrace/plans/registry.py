@@ -1,11 +1,375 @@
-"""Registered queries over the snapshot fixtures, and their SQL."""
+"""Registered queries, one or more per operator, and the same in SQL."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.nullsafe import common_ids
+from ..functions.text import ASCII, DOUBLE, LATIN, latin_ascii, similarity
+from ..operators import adjust, changes, evaluate, linkage
+from ..operators.clean import clean_email, clean_phone
+from ..operators.match import Interim, Match, exact_match, exact_sample, id_match
+from ..sources.catalog import date_spine, with_labels
+from .audit import match_none
+from .fixtures import faulty_match, oracle_views, snapshots, tables, third
+
+FIELDS = ["aff_number", "full_name", "phone", "city", "dob_days", "party"]
+BLOCKS = [["dob_days"], ["city", "party"]]
+LINK = {"varnames": ["full_name", "phone", "party", "dob_days"], "varnames_str": ["full_name", "phone", "party"]}
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            # SQL that starts with a comma adds members to the WITH clause
+            ORACLES[name] = f"WITH {oracle_views()}, {_BUCKETS} {sql}"
+        return fn
+
+    return add
+
+
+_COLS = "voter_id, aff_number, full_name, phone, city, dob_days, party"
+_EQ = " AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in _COLS.split(", "))
+_BUCKETS = f"""
+exact AS (SELECT x.* FROM a x JOIN b y ON {_EQ}),
+ma AS (SELECT x.* FROM a x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE {_EQ})),
+mb AS (SELECT x.* FROM b x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE {_EQ})),
+ia AS (SELECT * FROM ma WHERE voter_id IN (SELECT voter_id FROM mb)),
+ib AS (SELECT * FROM mb WHERE voter_id IN (SELECT voter_id FROM ma)),
+ra AS (SELECT * FROM ma WHERE voter_id NOT IN (SELECT voter_id FROM mb)),
+rb AS (SELECT * FROM mb WHERE voter_id NOT IN (SELECT voter_id FROM ma))"""
+
+
+def _inter(spark: SparkSession, sf_dir: str, ids=("voter_id",)) -> Interim:
+    return id_match(exact_match(*snapshots(spark, sf_dir)), list(ids))
+
+
+def _match(spark: SparkSession, sf_dir: str) -> Match:
+    return match_none(_inter(spark, sf_dir))
+
+
+query("exact_match", "SELECT * FROM exact")(lambda s, d: exact_match(*snapshots(s, d)).exact)
+query("mismatch_a", "SELECT * FROM ma")(lambda s, d: exact_match(*snapshots(s, d)).mismatch_a)
+query("mismatch_b", "SELECT * FROM mb")(lambda s, d: exact_match(*snapshots(s, d)).mismatch_b)
+query("id_match_a", "SELECT * FROM ia")(lambda s, d: _inter(s, d).id_match_a)
+query("id_match_b", "SELECT * FROM ib")(lambda s, d: _inter(s, d).id_match_b)
+query("id_residual_a", "SELECT * FROM ra")(lambda s, d: _inter(s, d).mismatch_a)
+query("id_residual_b", "SELECT * FROM rb")(lambda s, d: _inter(s, d).mismatch_b)
+
+
+@query("id_match_two_ids", """
+, i1 AS (SELECT x.voter_id AS a_id, y.voter_id AS b_id FROM ma x JOIN mb y ON x.aff_number IS NOT DISTINCT FROM y.aff_number)
+SELECT a_id, b_id FROM i1 UNION ALL
+SELECT x.voter_id, y.voter_id FROM ma x JOIN mb y ON x.voter_id = y.voter_id
+WHERE x.voter_id NOT IN (SELECT a_id FROM i1) AND y.voter_id NOT IN (SELECT b_id FROM i1)""".lstrip("\n"))
+def id_match_two_ids(spark, sf_dir):
+    pairs = _inter(spark, sf_dir, ("aff_number", "voter_id")).id_pairs
+    return pairs.select(F.col("a.voter_id").alias("a_id"), F.col("b.voter_id").alias("b_id"))
+
+
+@query("match_counts", """SELECT 'exact' AS bucket, count(*) AS n FROM exact UNION ALL SELECT 'id_match', count(*) FROM ia
+UNION ALL SELECT 'only_a', count(*) FROM ra UNION ALL SELECT 'only_b', count(*) FROM rb""")
+def match_counts(spark, sf_dir):
+    m = _match(spark, sf_dir)
+    parts = {"exact": m.exact, "id_match": m.id_pairs, "only_a": m.only_a, "only_b": m.only_b}
+    return reduce(DataFrame.union, (df.select(F.lit(k).alias("bucket")) for k, df in parts.items())).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _changes_sql(fields, strict=False):
+    hit = "x.{0} IS DISTINCT FROM y.{0}" if strict else "coalesce(x.{0} <> y.{0}, true)"
+    kind = """CASE WHEN x.{0} IS NULL AND y.{0} IS NULL THEN 'both_null' WHEN y.{0} IS NULL THEN 'to_null'
+              WHEN x.{0} IS NULL THEN 'from_null' ELSE 'value' END"""
+    return " UNION ALL ".join(
+        f"SELECT x.voter_id, '{f}' AS field, CAST(x.{f} AS VARCHAR) AS value_a, CAST(y.{f} AS VARCHAR) AS value_b, {kind.format(f)} AS change_kind FROM ia x JOIN ib y ON x.voter_id = y.voter_id WHERE {hit.format(f)}"
+        for f in fields
+    )
+
+
+def _changes(fields, null_changes="reference"):
+    def run(spark, sf_dir):
+        found = changes.changes_extract(_match(spark, sf_dir), fields, null_changes=null_changes)
+        return found.select(F.col("a.voter_id").alias("voter_id"), "field", "value_a", "value_b", "change_kind")
+
+    return run
+
+
+for _f in ("phone", "party", "full_name"):
+    query(f"changes_{_f}", _changes_sql([_f]))(_changes([_f]))
+query("changes_long", _changes_sql(FIELDS))(_changes(FIELDS))
+query("changes_strict", _changes_sql(FIELDS, True))(_changes(FIELDS, "strict"))
+
+_N = "(SELECT count(*) FROM {})"
+_REPORT = ", r AS (SELECT (SELECT count(*) FROM exact) AS e, (SELECT count(*) FROM ia) AS c, (SELECT count(*) FROM ra) AS oa, (SELECT count(*) FROM rb) AS ob), l AS (" + " UNION ALL ".join(
+    [f"SELECT '{t}' AS labels, {c} AS change_n FROM r" for t, c in (("Exact Matches", "e"), ("Changed", "c"), ("Dropped", "oa"), ("Added", "ob"))]
+    + [f"SELECT '{f}', (SELECT count(*) FROM ia x JOIN ib y ON x.voter_id = y.voter_id WHERE coalesce(x.{f} <> y.{f}, true))" for f in FIELDS]
+) + ") SELECT {head} labels, e + c + oa AS \"totalA\", e + c + ob AS \"totalB\", change_n, change_n / CAST(e + c + ob AS DOUBLE) AS change_prop FROM l, r"  # noqa: E501
+query("changes_report", _REPORT.replace("{head}", ""))(lambda s, d: changes.changes_report(_match(s, d), FIELDS))
+
+
+@query("changes_report_multi", """SELECT * FROM (
+SELECT 'day2' AS date_origin, 'Exact Matches' AS labels, (SELECT count(*) FROM exact) AS change_n UNION ALL
+SELECT 'day2', 'Changed', (SELECT count(*) FROM ia) UNION ALL SELECT 'day2', 'Dropped', (SELECT count(*) FROM ra) UNION ALL
+SELECT 'day2', 'Added', (SELECT count(*) FROM rb) UNION ALL
+SELECT 'day2', 'city', (SELECT count(*) FROM ia x JOIN ib y ON x.voter_id = y.voter_id WHERE coalesce(x.city <> y.city, true)) UNION ALL
+SELECT 'day3', 'Exact Matches', (SELECT count(*) FROM b x JOIN c y ON """ + _EQ + """) UNION ALL
+SELECT 'day3', 'Changed', (SELECT count(*) FROM b x JOIN c y ON x.voter_id = y.voter_id AND x.city <> y.city) UNION ALL
+SELECT 'day3', 'Dropped', (SELECT count(*) FROM b WHERE voter_id NOT IN (SELECT voter_id FROM c)) UNION ALL
+SELECT 'day3', 'Added', 0 UNION ALL
+SELECT 'day3', 'city', (SELECT count(*) FROM b x JOIN c y ON x.voter_id = y.voter_id AND x.city <> y.city))""")
+def changes_report_multi(spark, sf_dir):
+    a, b = snapshots(spark, sf_dir)
+    days = (("day2", a, b), ("day3", b, third(spark, b)))
+    reports = [changes.changes_report(match_none(id_match(exact_match(x, y), ["voter_id"])), ["city"], date_origin=day) for day, x, y in days]
+    return reduce(DataFrame.unionByName, reports).select("date_origin", "labels", "change_n")
+
+
+def _listed(period, step):
+    sql = f"""SELECT CAST(d AS DATE) AS date, strftime(d, '%a') AS weekday, strftime(d, '%m%d%y') AS date_label
+FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-20', INTERVAL {step})) AS d)
+WHERE strftime(d, '%m%d%y') IN (SELECT strftime(ts, '%m%d%y') FROM events)"""
+
+    def run(spark, sf_dir):
+        labels = tables(spark, sf_dir, "events")["events"].select(F.date_format("ts", "MMddyy").alias("date_label"))
+        return with_labels(date_spine(spark, "2023-12-25", "2024-02-20", period), labels)
+
+    return run, sql
+
+
+for _name, _period, _step in (("snapshot_list_daily", 1, "1 DAY"), ("snapshot_list_weekly", "week", "7 DAY")):
+    _run, _sql = _listed(_period, _step)
+    query(_name, _sql)(_run)
+
+
+def _latin_sql(value: str) -> str:
+    out = f"translate({value}, '{LATIN}', '{ASCII}')"
+    for letter, two in DOUBLE.items():
+        out = f"replace({out}, '{letter}', '{two}')"
+    return out
+
+
+_EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"
+_MADE = ["ABC@Example.com", "José@x.org", "abcQexample.com", ""]
+
+
+@query("clean_email", f"""
+, e AS (SELECT doc_id AS id, nullif(regexp_extract(text, '{_EMAIL}', 0), '') AS email FROM documents UNION ALL
+        SELECT * FROM (VALUES {", ".join(f"({-i - 1}, '{x}')" for i, x in enumerate(_MADE))}) t(id, email)),
+f AS (SELECT id, email, {_latin_sql("lower(email)")} AS low FROM e WHERE email IS NOT NULL)
+SELECT id, email, CASE WHEN NOT regexp_matches(low, 'abc@example.com') AND NOT regexp_matches(low, '^user1') THEN low END AS cleaned FROM f""".lstrip("\n"))
+def clean_email_query(spark, sf_dir):
+    docs = tables(spark, sf_dir, "documents")["documents"]
+    made = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(_MADE)], "id long, email string")
+    found = docs.select(F.col("doc_id").alias("id"), F.nullif(F.regexp_extract("text", _EMAIL, 0), F.lit("")).alias("email")).filter("email IS NOT NULL")
+    return found.union(made).withColumn("cleaned", clean_email(F.col("email"), ("abc@example.com", "^user1")))
+
+
+_PHONES = ["( __)___-____", "(999)999-9999", "000", "(714)___-____", "", "(714)555-1234", "aaaa", "7", "77-78"]
+_STRIP = "regexp_replace(phone, '[()_ -]', '', 'g')"
+
+
+@query("clean_phone", f"""
+, e AS (SELECT voter_id AS id, phone FROM b UNION ALL SELECT * FROM (VALUES {", ".join(f"({-i - 1}, '{x}')" for i, x in enumerate(_PHONES))}) t(id, phone)),
+f AS (SELECT id, phone, {_STRIP} AS s FROM e)
+SELECT id, phone, CASE WHEN phone IS NULL OR length(s) = 1 OR (length(s) > 1 AND regexp_full_match(s, '[A-Za-z0-9]+') AND length(replace(s, substr(s, 1, 1), '')) = 0)
+                       OR strpos(phone, '___-____') > 0 THEN NULL ELSE phone END AS cleaned FROM f""".lstrip("\n"))
+def clean_phone_query(spark, sf_dir):
+    made = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(_PHONES)], "id long, phone string")
+    return snapshots(spark, sf_dir)[1].select(F.col("voter_id").alias("id"), "phone").union(made).withColumn("cleaned", clean_phone(F.col("phone")))
+
+
+@query("latin_ascii", f"SELECT doc_id, {_latin_sql('text')} AS plain FROM documents")
+def latin_ascii_query(spark, sf_dir):
+    return tables(spark, sf_dir, "documents")["documents"].select("doc_id", latin_ascii(F.col("text")).alias("plain"))
+
+
+def _sample_sql(source, salt, size):
+    return f""", o AS (SELECT *, row_number() OVER (ORDER BY md5('123|{salt}|' || CAST(voter_id AS VARCHAR)), voter_id) AS k FROM {source})
+SELECT {_COLS} FROM o WHERE k <= {size}"""
+
+
+@query("sample_exact_frac", _sample_sql("exact", "a", "(SELECT CAST(round(count(*) * 0.1) AS BIGINT) FROM exact)"))
+def sample_exact_frac(spark, sf_dir):
+    return exact_sample(exact_match(*snapshots(spark, sf_dir)).exact, ["voter_id"], 123, "a", fraction=0.1)
+
+
+@query("sample_id_n", _sample_sql("ib", "b", "25"))
+def sample_id_n(spark, sf_dir):
+    return exact_sample(_inter(spark, sf_dir).id_match_b, ["voter_id"], 123, "b", size=25)
+
+
+@query("jaro_winkler_pairs", """, n AS (SELECT DISTINCT p_name AS x FROM part)
+SELECT p.x AS x, q.x AS y, round(jaro_winkler_similarity(p.x, q.x), 6) AS similarity FROM n p JOIN n q ON substr(p.x, 1, 2) = substr(q.x, 1, 2) AND p.x < q.x""")
+def jaro_winkler_pairs(spark, sf_dir):
+    n = tables(spark, sf_dir, "part")["part"].select(F.col("p_name").alias("x")).distinct()
+    pairs = n.alias("p").join(n.alias("q"), (F.substring("p.x", 1, 2) == F.substring("q.x", 1, 2)) & (F.col("p.x") < F.col("q.x")))
+    return pairs.select("p.x", F.col("q.x").alias("y"), F.round(similarity(F.col("p.x"), F.col("q.x")), 6).alias("similarity"))
+
+
+_BLOCKED = ", cand AS (SELECT x.voter_id AS a_id, y.voter_id AS b_id FROM ra x JOIN rb y ON x.dob_days = y.dob_days OR (x.city = y.city AND x.party = y.party))"
+
+
+@query("block_candidates", f"{_BLOCKED} SELECT a_id, b_id FROM cand")
+def block_candidates(spark, sf_dir):
+    i = _inter(spark, sf_dir)
+    return linkage.candidates(i.mismatch_a, i.mismatch_b, BLOCKS).select(F.col("a.voter_id").alias("a_id"), F.col("b.voter_id").alias("b_id"))
+
+
+def _gamma_sql(v):
+    s = f"jaro_winkler_similarity(x.{v}, y.{v})"
+    return f"CASE WHEN x.{v} IS NULL OR y.{v} IS NULL THEN NULL WHEN {s} >= 0.92 THEN 2 WHEN {s} >= 0.88 THEN 1 ELSE 0 END AS g_{v}"
+
+
+@query("gamma_patterns", f"""{_BLOCKED}, g AS (
+SELECT {", ".join(_gamma_sql(v) for v in LINK["varnames_str"])}, CASE WHEN x.dob_days = y.dob_days THEN 2 ELSE 0 END AS g_dob_days
+FROM cand JOIN ra x ON x.voter_id = a_id JOIN rb y ON y.voter_id = b_id)
+SELECT g_full_name, g_phone, g_party, g_dob_days, count(*) AS n FROM g GROUP BY ALL""")
+def gamma_patterns(spark, sf_dir):
+    i = _inter(spark, sf_dir)
+    strings, partial, numbers = linkage.roles(**LINK)
+    return linkage.patterns(linkage.gammas(linkage.candidates(i.mismatch_a, i.mismatch_b, BLOCKS), strings, partial, numbers), LINK["varnames"])
+
+
+@query("link_posteriors")
+def link_posteriors(spark, sf_dir):
+    return linkage.fit_patterns(gamma_patterns(spark, sf_dir), LINK["varnames"])[0]
+
+
+@query("link_matches")
+def link_matches(spark, sf_dir):
+    i = _inter(spark, sf_dir)
+    links, _ = linkage.link(i.mismatch_a, i.mismatch_b, **LINK, block=BLOCKS, key="voter_id")
+    return links.select(F.col("_rid_a").alias("a_id"), F.col("_rid_b").alias("b_id"), "posterior")
+
+
+def _flat(m: Match) -> DataFrame:
+    none = F.lit(None).cast("long")
+    a, b = F.col("voter_id").alias("a_id"), F.col("voter_id").alias("b_id")
+    pairs = m.changed.select(F.lit("changed").alias("bucket"), F.col("a.voter_id").alias("a_id"), F.col("b.voter_id").alias("b_id"))
+    return pairs.union(m.only_a.select(F.lit("only_a"), a, none)).union(m.only_b.select(F.lit("only_b"), none, b))
+
+
+def _flat_sql(p, oa, ob):
+    return f"SELECT 'changed' AS bucket, a_id, b_id FROM {p} UNION ALL SELECT 'only_a', id, NULL FROM {oa} UNION ALL SELECT 'only_b', NULL, id FROM {ob}"
+
+
+_FN1 = """, g1 AS (SELECT * FROM p WHERE a_id IN (SELECT id FROM ob) AND a_id NOT IN (SELECT b_id FROM p)),
+p1 AS (SELECT * FROM p WHERE a_id NOT IN (SELECT a_id FROM g1)),
+oa1 AS (SELECT id FROM oa UNION ALL SELECT a_id FROM g1), ob1 AS (SELECT id FROM ob UNION ALL SELECT b_id FROM g1),
+g2 AS (SELECT * FROM p1 WHERE b_id IN (SELECT id FROM oa1) AND b_id NOT IN (SELECT a_id FROM p1)),
+p2 AS (SELECT * FROM p1 WHERE b_id NOT IN (SELECT b_id FROM g2)),
+oa2 AS (SELECT id FROM oa1 UNION ALL SELECT a_id FROM g2), ob2 AS (SELECT id FROM ob1 UNION ALL SELECT b_id FROM g2) """
+_FN2 = """, p3 AS (SELECT a_id, b_id FROM p UNION ALL SELECT x.id, y.id FROM (SELECT DISTINCT id FROM oa) x JOIN (SELECT DISTINCT id FROM ob) y ON x.id = y.id),
+oa3 AS (SELECT DISTINCT id FROM oa WHERE id NOT IN (SELECT id FROM ob)), ob3 AS (SELECT DISTINCT id FROM ob WHERE id NOT IN (SELECT id FROM oa)) """
+_OBX = ", obx AS (SELECT id FROM ob UNION ALL SELECT DISTINCT b_id FROM p WHERE a_id % 20 = 1)"
+_FN3 = _OBX + ", ob4 AS (SELECT id FROM obx WHERE id NOT IN (SELECT b_id FROM p)) "
+_FN4 = """, w AS (SELECT * FROM p WHERE a_id <> b_id), ids AS (SELECT a_id AS id FROM w INTERSECT SELECT b_id FROM w),
+p5 AS (SELECT a_id, CASE WHEN a_id <> b_id AND a_id IN (SELECT id FROM ids) THEN a_id ELSE b_id END AS b_id FROM p),
+ob5 AS (SELECT id FROM ob UNION ALL SELECT b_id FROM w WHERE a_id IN (SELECT id FROM ids) AND b_id NOT IN (SELECT b_id FROM p5)) """
+_DUPS = """, m AS (SELECT *, count(*) OVER (PARTITION BY b_id) > 1 AS many FROM p),
+p6 AS (SELECT a_id, b_id FROM m WHERE NOT many OR a_id = b_id), bad AS (SELECT * FROM m WHERE many AND a_id <> b_id),
+oa6 AS (SELECT id FROM oa UNION SELECT a_id FROM bad), ob6 AS (SELECT id FROM ob UNION SELECT b_id FROM bad WHERE b_id NOT IN (SELECT b_id FROM p6)) """
+
+query("adjust_fn1", _FN1 + _flat_sql("p2", "oa2", "ob2"))(lambda s, d: _flat(adjust.dissolve_known(adjust.settle(faulty_match(s, d)), "voter_id")))
+query("adjust_fn2", _FN2 + _flat_sql("p3", "oa3", "ob3"))(lambda s, d: _flat(adjust.pair_known(adjust.settle(faulty_match(s, d)), "voter_id")))
+
+
+@query("adjust_fn3", _FN3 + _flat_sql("p", "oa", "ob4"))
+def adjust_fn3(spark, sf_dir):
+    m = adjust.settle(faulty_match(spark, sf_dir))
+    again = m.changed.filter("a.voter_id % 20 = 1").select("b.*").distinct()
+    return _flat(adjust.drop_repeated(replace(m, only_b=m.only_b.unionByName(again)), "voter_id"))
+
+
+query("adjust_fn4", _FN4 + _flat_sql("p5", "oa", "ob5"))(lambda s, d: _flat(adjust.repoint(adjust.settle(faulty_match(s, d)), "voter_id")))
+query("adjust_dups", _DUPS + _flat_sql("p6", "oa6", "ob6"))(lambda s, d: _flat(adjust.adjust_dups(adjust.settle(faulty_match(s, d)), ["voter_id"])))
+
+
+@query("adjusted")
+def adjusted(spark, sf_dir):
+    return _flat(adjust.adjust_dups(adjust.adjust_fn(adjust.settle(faulty_match(spark, sf_dir)), ["voter_id"]), ["voter_id"]))
+
+
+def _performance_sql(names, join):
+    each = lambda t, ids: f" {join} ".join(f"{t}.{n} IN (SELECT {n} FROM {ids})" for n in names)
+    both = f" {join} ".join(f"(x.{n} IN (SELECT {n} FROM cb) OR x.{n} IN (SELECT {n} FROM bb))" for n in names)
+    return f""", ca AS (SELECT a.* FROM p JOIN a ON a.voter_id = a_id), cb AS (SELECT b.* FROM p JOIN b ON b.voter_id = b_id),
+aa AS (SELECT a.* FROM a JOIN oa ON a.voter_id = oa.id), bb AS (SELECT b.* FROM b JOIN ob ON b.voter_id = ob.id),
+k AS (SELECT (SELECT count(*) FROM ca) AS pr,
+ (SELECT count(*) FROM (SELECT * FROM ca UNION ALL SELECT * FROM aa) x WHERE {both}) AS pt,
+ (SELECT count(*) FROM ca x WHERE {each("x", "cb")}) AS tp, (SELECT count(*) FROM aa x WHERE {each("x", "bb")}) AS fn,
+ (SELECT count(*) FROM ca x WHERE NOT ({each("x", "cb")})) AS fp, (SELECT count(*) FROM aa x WHERE NOT ({each("x", "bb")})) AS "tnA",
+ (SELECT count(*) FROM bb x WHERE NOT ({each("x", "aa")})) AS "tnB"),
+q AS (SELECT *, tp / CAST(pr AS DOUBLE) AS precision, tp / CAST(tp + fn AS DOUBLE) AS recall FROM k)
+SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM q"""
+
+
+for _cond in ("or", "and"):
+    query(f"performance_{_cond}", _performance_sql(["voter_id", "aff_number"], _cond.upper()))(
+        lambda s, d, c=_cond: evaluate.performance(adjust.settle(faulty_match(s, d)), ["voter_id", "aff_number"], c)
+    )
+
+
+def _compared(spark, sf_dir):
+    m1 = adjust.settle(faulty_match(spark, sf_dir))
+    return evaluate.compare(m1, replace(m1, changed=m1.changed.filter("a.voter_id % 3 <> 0 OR a.voter_id % 20 = 6")), id="voter_id")
+
+
+_ids_of = lambda df: df.select(F.col("a.voter_id").alias("a_id"), F.col("b.voter_id").alias("b_id"))
+query("compare_setdiff", "SELECT a_id, b_id FROM p WHERE a_id <> b_id AND a_id % 3 = 0 AND a_id % 20 <> 6")(lambda s, d: _ids_of(_compared(s, d)["setdiff_1"]))
+query("compare_union", "SELECT a_id, b_id FROM p")(lambda s, d: _ids_of(_compared(s, d)["union"]))
+
+
+@query("dup_ids", """SELECT l_orderkey, l_linenumber, n FROM (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1""")
+def dup_ids(spark, sf_dir):
+    n = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
+    return tables(spark, sf_dir, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber", n.alias("n")).filter("n > 1")
+
+
+@query("first_match_lookup", """SELECT voter_id, aff_number FROM (
+SELECT voter_id, aff_number, row_number() OVER (PARTITION BY city ORDER BY voter_id) AS k FROM a) WHERE k = 1""")
+def first_match_lookup(spark, sf_dir):
+    k = F.row_number().over(Window.partitionBy("city").orderBy("voter_id"))
+    return snapshots(spark, sf_dir)[0].withColumn("k", k).filter("k = 1").select("voter_id", "aff_number")
+
+
+@query("full_join_ids", "SELECT coalesce(x.voter_id, y.voter_id) AS voter_id, x.party AS party_a, y.party AS party_b FROM ma x FULL JOIN mb y ON x.voter_id = y.voter_id")
+def full_join_ids(spark, sf_dir):
+    i = exact_match(*snapshots(spark, sf_dir))
+    j = i.mismatch_a.alias("x").join(i.mismatch_b.alias("y"), F.col("x.voter_id").eqNullSafe(F.col("y.voter_id")), "full_outer")
+    return j.select(F.coalesce("x.voter_id", "y.voter_id").alias("voter_id"), F.col("x.party").alias("party_a"), F.col("y.party").alias("party_b"))
+
+
+@query("union_by_name", "SELECT voter_id, party, NULL AS phone FROM ra UNION ALL SELECT voter_id, NULL, phone FROM rb")
+def union_by_name(spark, sf_dir):
+    i = _inter(spark, sf_dir)
+    return i.mismatch_a.select("voter_id", "party").unionByName(i.mismatch_b.select("phone", "voter_id"), allowMissingColumns=True)
+
+
+@query("common_ids", "SELECT voter_id FROM ma INTERSECT SELECT voter_id FROM mb")
+def common_ids_query(spark, sf_dir):
+    i = exact_match(*snapshots(spark, sf_dir))
+    return common_ids(i.mismatch_a, i.mismatch_b, "voter_id")
+
+
+@query("timestamp_days", "SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders")
+def timestamp_days(spark, sf_dir):
+    from ..sources.snapshots import days_for_dates
+
+    return days_for_dates(tables(spark, sf_dir, "orders")["orders"].select("o_orderkey", F.col("o_orderdate").alias("days")))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
