@@ -29,8 +29,11 @@ from .common import SPACE_CHARS, documents, materialise, text_of
 SALTS = 8
 
 #: More than the distance between any two ids; and an id past all others, for null.
-_SPAN = F.lit("18446744073709551616").cast("decimal(20,0)")
-_PAST = F.lit("9223372036854775808").cast("decimal(20,0)")
+_SPAN, _PAST = 2**64, 2**63
+
+
+def _number(value: int) -> Column:
+    return F.lit(str(value)).cast("decimal(20,0)")
 
 
 def normalise(text: Column) -> Column:
@@ -46,13 +49,13 @@ def sha256(text: Column) -> Column:
 def _rank(length: Column, doc_id: Column) -> Column:
     """Longest first, then smallest id, as one number: its fixed width keeps the
     aggregate in the hash path, which a struct would not."""
-    top = F.coalesce(doc_id.cast("decimal(20,0)"), _PAST)
-    return (length.cast("decimal(10,0)") * _SPAN - top).cast("decimal(38,0)")
+    top = F.coalesce(doc_id.cast("decimal(20,0)"), _number(_PAST))
+    return (length.cast("decimal(10,0)") * _number(_SPAN) - top).cast("decimal(38,0)")
 
 
 def _unranked(rank: Column, length: Column) -> Column:
-    top = (length.cast("decimal(10,0)") * _SPAN).cast("decimal(38,0)") - rank
-    return F.when(top < _PAST, top.cast("decimal(20,0)").cast("long"))
+    top = (length.cast("decimal(10,0)") * _number(_SPAN)).cast("decimal(38,0)") - rank
+    return F.when(top < _number(_PAST), top.cast("decimal(20,0)").cast("long"))
 
 
 def _combined(rows: DataFrame, salts: int) -> DataFrame:
