@@ -14,7 +14,8 @@ A text's set holds its distinct 4-word shingles as 64-bit hashes. Sets link when
    verified, links make components. Second round: all pairs of a group whose members
    are still in different components, so no link between components is lost,
    while a group of thousands of near copies costs one pair per member.
-5. Verification by a prefix tree: the sets that are paired with one text, frequent
+5. Bit signatures bound each pair's overlap from above and drop what can't link. The rest is
+   verified by a prefix tree: the sets that are paired with one text, frequent
    shingles first, are laid out in the depth-first order of their trie. The walk carries the
    overlap with the text at every depth, so a shared beginning is counted once, and a
    subtree is left when its overlap plus the remaining length can't reach the bound.
@@ -43,9 +44,9 @@ from .common import bounded_batches, documents, materialise, text_of
 
 WORDS, LOW, HIGH = 4, 85, 100
 #: Shingles with an order of their own, counted in blocks of so many shingles from so many sets on.
-ORDERED, BLOCK, LOCAL = 1 << 18, 4_000_000, 8
-#: Sets that one trie holds.
-TRIE = 256
+ORDERED, BLOCK, LOCAL = 1 << 20, 4_000_000, 2
+#: Sets that one trie holds; bits of the signatures, short and long, that bound an overlap from above.
+TRIE, SHORT, BITS = 256, 1024, 4096
 
 _U = np.uint64
 _BASE, _K1, _K2 = _U(0x9E3779B97F4A7C55), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -109,6 +110,20 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
+def signature(values: np.ndarray, size: int = BITS) -> bytes:
+    """A bit per hash class of the set's members."""
+    bits = np.zeros(size, np.uint8)
+    bits[(values % _U(size)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _may_link(na, nb, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """Whether signatures allow a link: every bit of one set that the other lacks is a member,
+    at least, that the other lacks."""
+    most = np.minimum(na - np.bitwise_count(sa & ~sb).sum(-1, dtype=np.int64), nb - np.bitwise_count(sb & ~sa).sum(-1, dtype=np.int64))
+    return most * (LOW + HIGH) >= LOW * (na + nb)
+
+
 class Order:
     """Global order of shingles: by count for the frequent ones, then by hash."""
 
@@ -136,15 +151,16 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """A row per text (doc_id, n, d1, d2), and a row per locally frequent shingle (hash, n)."""
+    """A row per text (doc_id, n, d1, d2, bits), and a row per locally frequent shingle (hash, n)."""
 
     def frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
         keep = counts >= LOCAL
         return values[keep], counts[keep]
 
-    def batch_of(ids, n, d1, d2, hashes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, n, d1, d2, hashes)], ["doc_id", "n", "d1", "d2", "hash"])
+    def batch_of(ids, n, d1, d2, bits, hashes) -> pa.RecordBatch:
+        cols = [pa.array(x, pa.binary() if x is bits else pa.int64()) for x in (ids, n, d1, d2, bits, hashes)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "bits", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
@@ -154,14 +170,14 @@ def _profiles(docs: DataFrame) -> DataFrame:
         def counted() -> pa.RecordBatch:
             values, counts = frequent(sets)
             none = [None] * len(values)
-            return batch_of(none, counts, none, none, values.view(np.int64))
+            return batch_of(none, counts, none, none, list(none), values.view(np.int64))
 
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 values = shingle_set(text)
                 key = _digest(values)
-                rows.append((doc_id, len(values), *key))
+                rows.append((doc_id, len(values), *key, signature(values, SHORT)))
                 if len(values) and key not in seen:
                     seen.add(key)
                     sets.append(values)
@@ -174,7 +190,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
         if sets:
             yield counted()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, hash long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary, hash long")
 
 
 def _order(profiles: DataFrame) -> Order:
@@ -243,16 +259,17 @@ def _possible(a: str, b: str) -> Column:
 
 
 def _centre_pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b): every member of a group with the group's centre."""
-    centre = F.min_by(F.struct("node", "n", "pos"), F.struct(F.xxhash64("node"), "node")).alias("c")
+    """(a, b): every member of a group with the group's centre, the member with the fewest rarer
+    shingles: of the near copies of one text, that text."""
+    centre = F.min_by(F.struct("node", "n", "pos"), F.struct("pos", "node")).alias("c")
     centres = blocks.groupBy("token").agg(centre).select("token", "c.*")
     pairs = blocks.alias("x").join(centres.alias("c"), "token").filter((F.col("x.node") != F.col("c.node")) & _possible("x", "c"))
     return pairs.select(F.col("c.node").alias("a"), F.col("x.node").alias("b")).distinct()
 
 
-def _open_pairs(blocks: DataFrame, components: DataFrame) -> DataFrame:
-    """(a, b), a < b: all possible pairs of a group whose components differ."""
-    schema = "a long, b long"
+def _open_pairs(blocks: DataFrame, components: DataFrame, bits: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of a group whose components differ and whose bounds and short
+    signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -260,30 +277,29 @@ def _open_pairs(blocks: DataFrame, components: DataFrame) -> DataFrame:
             return
         table = pa.Table.from_batches(got)
         token, node, n, pos, comp = (table.column(c).to_numpy() for c in ("token", "node", "n", "pos", "comp"))
+        sign = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
         at = np.lexsort((n, token))
-        token, node, n, pos, comp = token[at], node[at], n[at], pos[at], comp[at]
+        token, node, n, pos, comp, sign = token[at], node[at], n[at], pos[at], comp[at], sign[at]
         edges = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
-        left, right, held = [], [], 0
+        seen: set[tuple[int, int]] = set()
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
-                continue
             for i in range(lo, hi - 1):  # n rises, so partners end where they get too long
                 end = i + 1 + np.searchsorted(n[i + 1 : hi], HIGH * n[i] // LOW, side="right")
                 j = np.arange(i + 1, end)
                 room = 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])
                 j = j[(comp[j] != comp[i]) & (room * (LOW + HIGH) >= LOW * (n[i] + n[j]))]
-                if len(j):
-                    left.append(np.minimum(node[i], node[j]))
-                    right.append(np.maximum(node[i], node[j]))
-                    held += len(j)
-            if held >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["a", "b"])
-                left, right, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["a", "b"])
+                j = j[_may_link(n[i], n[j], sign[i], sign[j])]
+                seen.update(zip(np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist()))
+            if len(seen) >= 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen)], ["a", "b"])
+                seen = set()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen)], ["a", "b"])
 
-    placed = blocks.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return placed.select("token", "node", "n", "pos", "comp").repartition("token").mapInArrow(run, schema).distinct()
+    placed = materialise(blocks.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-placed")
+    split = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    rows = placed.join(split, "token", "left_semi").join(bits, ["node", "n"]).select("token", "node", "n", "pos", "comp", "bits")
+    return rows.repartition("token").mapInArrow(run, "a long, b long").distinct()
 
 
 def walk(text: np.ndarray, others: list[np.ndarray]) -> list[int]:
@@ -314,6 +330,21 @@ def walk(text: np.ndarray, others: list[np.ndarray]) -> list[int]:
     return found
 
 
+def _within_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose long signatures allow a link."""
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(na), -1) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array(_may_link(na, nb, sa, sb)))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
     """Those of the (a, b) pairs that link."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -321,11 +352,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = order.value
         for batch in batches:
-            blobs = [own.frequent_first(shingle_set(t)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, pa.binary())], ["node", "blob"])
+            sets = [own.frequent_first(shingle_set(t)) for t in batch.column("text").to_pylist()]
+            cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], ["node", "n", "bits", "blob"])
 
     texts = _texts(docs).join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = materialise(texts.mapInArrow(ordered, "node long, blob binary"), "jaccard-sets")
+    full = materialise(texts.mapInArrow(ordered, "node long, n long, bits binary, blob binary"), "jaccard-sets")
+    pairs = materialise(_within_bounds(pairs, full), "jaccard-within")
+    sets = full.select("node", "blob")
     spread = F.pmod(F.xxhash64("b"), F.lit(16))  # a centre of thousands of pairs is walked by several tasks
     wanted = pairs.withColumn("salt", spread)
     centres = wanted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a")
@@ -391,15 +425,17 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     profiles = materialise(_profiles(docs), "jaccard-profiles")
     order = spark.sparkContext.broadcast(_order(profiles))
-    rows = profiles.filter("hash IS NULL").select("doc_id", "n", "d1", "d2")
-    classes = materialise(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "jaccard-classes")
+    rows = profiles.filter("hash IS NULL").select("doc_id", "n", "d1", "d2", "bits")
+    by_class = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    signed = materialise(by_class, "jaccard-classes")
+    classes = signed.select("d1", "d2", "node")
     named = docs.filter(F.col("doc_id").isNotNull())
     shared = materialise(_shared(_prefixes(named, order)), "jaccard-shared")
     blocks = materialise(shared.join(classes, ["d1", "d2"]).select("token", "node", "n", "pos"), "jaccard-blocks")
     reps = named.join(classes.select(F.col("node").alias("__node")).distinct(), F.col("doc_id").cast("long") == F.col("__node"), "left_semi")
     pairs = materialise(_centre_pairs(blocks), "jaccard-pairs")
     links = materialise(_verified(pairs, reps, order), "jaccard-links")
-    again = _open_pairs(blocks, connected(links)).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    again = _open_pairs(blocks, connected(links), signed.select("node", "n", "bits")).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     again = materialise(again, "jaccard-open")
     if again.limit(1).count():
         links = links.union(_verified(again, reps, order))
