@@ -170,24 +170,30 @@ def judge(counted: DataFrame, chosen: DataFrame, stratum: str, grid=None) -> Dat
     return joined.withColumn("__ok", ~bad).drop("__stratum", "__cut")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``docs`` with struct ``__q`` (the counts) and booleans ``__failed`` (base) and
-    ``__ok`` (the learned rules)."""
-    if stratum not in docs.columns:
-        docs = docs.withColumn(stratum, F.lit(None).cast("string"))
-    ids = labels.filter("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("__label")).distinct()
-    held = docs.join(ids, F.col("doc_id").cast("long") == F.col("__label"), "left_semi")
-    chosen = thresholds(with_counts(held), labels, stratum, risk, delta)
-    return judge(with_counts(docs), chosen, stratum).withColumn("__failed", base_failed())
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def _with_stratum(docs: DataFrame, stratum: str) -> DataFrame:
+    return docs if stratum in docs.columns else docs.withColumn(stratum, F.lit(None).cast("string"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> tuple[DataFrame, DataFrame]:
+    """The counts of every row (doc_id, stratum, struct ``__q``), and the cutoffs chosen.
+
+    Texts are read once and never shuffled: the counts are written out, and only they meet
+    the labels."""
+    counted = with_counts(_with_stratum(docs, stratum)).select("doc_id", stratum, "__q")
+    counted = materialise(counted, "quality-counts")
+    return counted, thresholds(counted, labels, stratum, risk, delta)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` that pass the base and the learned rules."""
-    return quality_rules(docs, labels, **options).filter(~F.col("__failed") & F.col("__ok")).select(docs.columns)
+    _, chosen = quality_rules(docs, labels, stratum, **options)
+    judged = judge(with_counts(_with_stratum(docs, stratum)), chosen, stratum)
+    return judged.filter(~base_failed() & F.col("__ok")).select(docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.select(
-        "doc_id", *(F.col(f"__q.{c}").alias(c) for c in COUNTS), F.col("__failed").alias("base_failed"), (~F.col("__failed") & F.col("__ok")).alias("kept")
+    counted, chosen = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = ~base_failed() & F.col("__ok")
+    return judge(counted, chosen, "lang").select(
+        "doc_id", *(F.col(f"__q.{c}").alias(c) for c in COUNTS), base_failed().alias("base_failed"), kept.alias("kept")
     )
