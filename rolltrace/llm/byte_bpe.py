@@ -32,7 +32,7 @@ from .common import bounded_batches, documents, text_of
 
 LONG = 256
 #: Words sent to DuckDB at once, and words kept by a worker between batches.
-CHUNK, KEPT = 20_000, 400_000
+CHUNK, KEPT = 20_000, 800_000
 
 _QUERY = """
 WITH RECURSIVE s(w, p, q, a, b, m, step) AS (
@@ -50,9 +50,9 @@ WITH RECURSIVE s(w, p, q, a, b, m, step) AS (
     FROM s JOIN pick ON s.w = pick.w WHERE s.p <> p0)
   SELECT w, p, q, a, b, CASE WHEN changed THEN merges.m ELSE now.m END, step
   FROM now LEFT JOIN merges ON merges.ab = (CASE WHEN changed AND b >= 0 THEN a::BIGINT << 20 | b END))),
-done AS (SELECT w, p, a, step, max(step) OVER (PARTITION BY w) AS last FROM s)
-SELECT w, count(*), string_agg(a::VARCHAR, ',' ORDER BY p), string_agg(vocabulary.hex, '' ORDER BY p)
-FROM done JOIN vocabulary ON vocabulary.id = done.a WHERE step = last GROUP BY w
+last AS (SELECT w, max(step) AS step FROM s GROUP BY w)
+SELECT s.w, count(*), string_agg(a::VARCHAR, ',' ORDER BY p), string_agg(vocabulary.hex, '' ORDER BY p)
+FROM s JOIN last ON s.w = last.w AND s.step = last.step JOIN vocabulary ON vocabulary.id = s.a GROUP BY s.w
 """
 
 
@@ -149,8 +149,8 @@ class Encoder:
         words = [self.split(t) for t in texts]
         new = {w for ws in words for w in ws if w not in self.known}
         if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = {w for ws in words for w in ws}
+            # the words of one batch hold all that are frequent
+            self.known = {w: self.known[w] for ws in words for w in ws if w in self.known}
         self.learn(list(new))
         out = []
         for ws in words:
