@@ -396,3 +396,13 @@ def test_url_filter(spark):
     assert got[5][3] == "block" and got[6][3] == "allow" and got[7] == ("", "", None, "block") and got[8] == ("", "", None, "allow")
     assert got[10][2] is None and got[11] == ("x.net", "", None, "allow") and got[12][3] == "block" and got[13][2:] == ("com/de/", "block")
     assert url_filter.url_filter(df.limit(0)).count() == 0
+
+
+def test_both_tokenizer_libraries_agree_where_the_faster_one_is_used():
+    import public_tokenizers as p
+
+    ids = packing.Ids(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    for code in range(ord(packing._SURE)):
+        c = chr(code)
+        for t in (c, f"a{c}b", f" {c} 1", f"{c * 3}  x", f"1{c}'s"):
+            assert ids.fast.encode_ordinary(t) == ids.slow.encode(t, add_special_tokens=False).ids, (code, t)
