@@ -32,8 +32,9 @@ empty table; other columns are ignored by the query and kept by :func:`drop_near
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,10 @@ WORDS, LOW, HIGH = 4, 85, 100
 ORDERED, BLOCK, LOCAL = 1 << 20, 4_000_000, 2
 #: Sets that one trie holds; bits of the signatures, short and long, that bound an overlap from above.
 TRIE, SHORT, BITS = 256, 1024, 4096
+#: Sets of one shingle that one task takes; a more frequent shingle is dealt to several.
+DEALT = 1024
+#: Ratio of set sizes in a band of lengths; over 1 / 0.85, so that links span two bands at most.
+BAND = 1.2
 
 _U = np.uint64
 _BASE, _K1, _K2 = _U(0x9E3779B97F4A7C55), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -151,7 +156,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """A row per text (doc_id, n, d1, d2, bits), and a row per locally frequent shingle (hash, n)."""
+    """A row per text (doc_id, n, d1, d2, bits as longs), and a row per locally frequent shingle (hash, n)."""
 
     def frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -159,7 +164,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
         return values[keep], counts[keep]
 
     def batch_of(ids, n, d1, d2, bits, hashes) -> pa.RecordBatch:
-        cols = [pa.array(x, pa.binary() if x is bits else pa.int64()) for x in (ids, n, d1, d2, bits, hashes)]
+        cols = [pa.array(x, pa.list_(pa.int64()) if x is bits else pa.int64()) for x in (ids, n, d1, d2, bits, hashes)]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "bits", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +182,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 values = shingle_set(text)
                 key = _digest(values)
-                rows.append((doc_id, len(values), *key, signature(values, SHORT)))
+                rows.append((doc_id, len(values), *key, np.frombuffer(signature(values, SHORT), np.int64)))
                 if len(values) and key not in seen:
                     seen.add(key)
                     sets.append(values)
@@ -190,7 +195,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
         if sets:
             yield counted()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary, hash long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits array<long>, hash long")
 
 
 def _order(profiles: DataFrame) -> Order:
@@ -200,12 +205,13 @@ def _order(profiles: DataFrame) -> Order:
 
 
 def _prefixes(docs: DataFrame, order) -> DataFrame:
-    """token, d1, d2, n, pos: the prefix of every set, once per partition."""
+    """token, d1, d2, n, pos, parts: the prefix of every set, once per partition; a token is
+    dealt to ``parts`` tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = order.value, set()
         for batch in batches:
-            tokens, rows, sizes = [], [], []
+            tokens, parts, rows, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingle_set(text)
                 key = _digest(values)
@@ -214,6 +220,7 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
                 seen.add(key)
                 some = own.first(values, prefix_length(len(values)))
                 tokens.append(some)
+                parts.append(own.count(some) // DEALT + 1)
                 sizes.append(len(some))
                 rows.append((*key, len(values)))
             if not rows:
@@ -221,32 +228,38 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
             times = np.array(sizes)
             each = np.repeat(np.array(rows, np.int64), times, axis=0)
             place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.ascontiguousarray(each[:, k])) for k in range(3)), pa.array(place.astype(np.int64))],
-                ["token", "d1", "d2", "n", "pos"],
-            )
+            cols = [np.concatenate(tokens).view(np.int64), *(np.ascontiguousarray(each[:, k]) for k in range(3)), place.astype(np.int64), np.concatenate(parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["token", "d1", "d2", "n", "pos", "parts"])
 
-    return _texts(docs).select("text").mapInArrow(run, "token long, d1 long, d2 long, n long, pos long")
+    return _texts(docs).select("text").mapInArrow(run, "token long, d1 long, d2 long, n long, pos long, parts long")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """The entries whose token occurs in two classes at least, once per class."""
+    """The entries whose token occurs in two classes at least, once per class. Tokens that are
+    dealt to several tasks pass as they are. Rows arrive sorted and are never gathered: all
+    that is held between batches is the first row of the last token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        token, d1, d2 = (table.column(c).to_numpy() for c in ("token", "d1", "d2"))
-        at = np.lexsort((d2, d1, token))
-        token, d1, d2 = token[at], d1[at], d2[at]
-        new_token = np.concatenate(([True], token[1:] != token[:-1]))
-        new = new_token | np.concatenate(([True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])))
-        group = np.cumsum(new_token) - 1
-        several = np.bincount(group, weights=new) > 1
-        yield from table.take(pa.array(at[new & several[group]])).to_batches(max_chunksize=50_000)
-
-    return entries.repartition("token").mapInArrow(run, entries.schema)
+        before, alone = None, None  # the row before; that of a token with one class so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if alone is not None:
+                batch = pa.Table.from_batches([alone, batch]).combine_chunks().to_batches()[0]
+            token, d1, d2, parts = (batch.column(c).to_numpy() for c in ("token", "d1", "d2", "parts"))
+            goes_on = alone is None and before is not None and before[0] == token[0]
+            new_token = np.concatenate(([not goes_on], token[1:] != token[:-1]))
+            new = new_token | np.concatenate(([False], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])))
+            new[0] = not (goes_on and before == (token[0], d1[0], d2[0]))
+            group = np.cumsum(new_token) - new_token[0]
+            several = (np.bincount(group, weights=new) > 1) | (np.bincount(group, weights=parts > 1) > 0)
+            several[0] |= goes_on
+            before = (token[-1], d1[-1], d2[-1])
+            alone = None if several[-1] else batch.slice(int(np.searchsorted(group, group[-1])), 1)
+            yield batch.filter(pa.array(new & several[group]))
+
+    dealt = entries.repartition("token", F.pmod("d1", "parts")).sortWithinPartitions("token", "d1", "d2")
+    return dealt.mapInArrow(run, entries.schema)
 
 
 def _possible(a: str, b: str) -> Column:
@@ -267,39 +280,34 @@ def _centre_pairs(blocks: DataFrame) -> DataFrame:
     return pairs.select(F.col("c.node").alias("a"), F.col("x.node").alias("b")).distinct()
 
 
+def _signatures_allow(a: str, b: str) -> Column:
+    """As :func:`_may_link`, of short signatures."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    words = [(F.get(f"{a}.bits", k), F.get(f"{b}.bits", k)) for k in range(SHORT // 64)]
+    lacks = lambda pairs: reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in pairs))
+    most = F.least(na - lacks(words), nb - lacks((y, x) for x, y in words))
+    return most * (LOW + HIGH) >= LOW * (na + nb)
+
+
 def _open_pairs(blocks: DataFrame, components: DataFrame, bits: DataFrame) -> DataFrame:
     """(a, b), a < b: the pairs of a group whose components differ and whose bounds and short
-    signatures allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        token, node, n, pos, comp = (table.column(c).to_numpy() for c in ("token", "node", "n", "pos", "comp"))
-        sign = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-        at = np.lexsort((n, token))
-        token, node, n, pos, comp, sign = token[at], node[at], n[at], pos[at], comp[at], sign[at]
-        edges = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
-        seen: set[tuple[int, int]] = set()
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            for i in range(lo, hi - 1):  # n rises, so partners end where they get too long
-                end = i + 1 + np.searchsorted(n[i + 1 : hi], HIGH * n[i] // LOW, side="right")
-                j = np.arange(i + 1, end)
-                room = 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])
-                j = j[(comp[j] != comp[i]) & (room * (LOW + HIGH) >= LOW * (n[i] + n[j]))]
-                j = j[_may_link(n[i], n[j], sign[i], sign[j])]
-                seen.update(zip(np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist()))
-            if len(seen) >= 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen)], ["a", "b"])
-                seen = set()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen)], ["a", "b"])
+    signatures allow a link.
 
+    Of two members in different components one, at least, is outside the group's largest
+    component. Only those probe the group, so near copies cost nothing among each other. Groups
+    are parted by length: sets that link are in the same or neighbouring bands."""
     placed = materialise(blocks.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-placed")
     split = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    rows = placed.join(split, "token", "left_semi").join(bits, ["node", "n"]).select("token", "node", "n", "pos", "comp", "bits")
-    return rows.repartition("token").mapInArrow(run, "a long, b long").distinct()
+    band = F.floor(F.log(F.col("n")) / math.log(BAND)).cast("int")
+    rows = placed.join(split, "token", "left_semi").join(bits, ["node", "n"]).select("token", "node", "n", "pos", "comp", "bits", band.alias("band"))
+    rows = materialise(rows, "jaccard-split")
+    largest = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"))
+    probes = rows.join(largest, "token").filter("comp <> largest").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    once = (F.col("y.comp") == F.col("x.largest")) | (F.col("x.node") < F.col("y.node"))
+    fits = (F.col("x.comp") != F.col("y.comp")) & once & _possible("x", "y") & _signatures_allow("x", "y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
+    pairs = probes.alias("x").join(rows.alias("y"), on & fits)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def walk(text: np.ndarray, others: list[np.ndarray]) -> list[int]:

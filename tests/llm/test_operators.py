@@ -205,6 +205,51 @@ def test_jaccard_chains_and_borders(spark):
     assert [got[i]["component_id"] for i in range(len(texts))] == roots and 12 < len(set(roots)) < len(texts)
 
 
+@pytest.mark.parametrize("rows_per_batch", [1, 3, 500])
+def test_shared_shingles_over_batches(spark, rows_per_batch):
+    """Any cut into batches gives the rows of tokens with two classes, once each."""
+    rng = random.Random(rows_per_batch)
+    rows = [(rng.randint(1, 40), rng.randint(-3, 3), rng.randint(0, 1), 9, 0, 1) for _ in range(150)]
+    rows += [(100, k % 50, 0, 9, 0, 4) for k in range(100)] + [(101, 1, 1, 9, 0, 4)]
+    df = spark.createDataFrame(rows, "token long, d1 long, d2 long, n long, pos long, parts long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows_per_batch))
+    try:
+        got = sorted((r["token"], r["d1"], r["d2"]) for r in jaccard_join._shared(df).collect())
+    finally:
+        spark.conf.set(key, before)
+    classes = collections.Counter(t for t, *_ in {r[:3] for r in rows})
+    assert got == sorted({r[:3] for r in rows if classes[r[0]] > 1 or r[5] > 1})
+
+
+def test_open_pairs_of_groups_in_several_components(spark):
+    """All pairs of different components that lengths, positions and signatures leave, once."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(1, 1 << 62, 80).astype(np.uint64)
+    sets = []
+    for k in range(40):
+        x = base[: int(rng.integers(60, 81))].copy()
+        x[rng.choice(len(x), 2 * (k % 4), replace=False)] = rng.integers(1, 1 << 62, 2 * (k % 4))
+        sets.append(np.unique(x))
+    comp = [min(k, 30) if k % 7 else 0 for k in range(40)]
+    where = [(t, k, len(x), int(rng.integers(0, 12))) for k, x in enumerate(sets) for t in (1, 2 + k % 3)]
+    sign = lambda x: np.frombuffer(jaccard_join.signature(x, jaccard_join.SHORT), np.int64)
+    blocks = spark.createDataFrame(where, "token long, node long, n long, pos long")
+    components = spark.createDataFrame([(k, c) for k, c in enumerate(comp) if c != k], "node long, comp long")
+    bits = spark.createDataFrame([(k, len(x), sign(x).tolist()) for k, x in enumerate(sets)], "node long, n long, bits array<long>")
+    want = set()
+    for t, i, ni, pi in where:
+        for u, j, nj, pj in where:
+            if t == u and i < j and comp[i] != comp[j] and 100 * min(ni, nj) >= 85 * max(ni, nj):
+                if (1 + min(ni - 1 - pi, nj - 1 - pj)) * 185 >= 85 * (ni + nj) and jaccard_join._may_link(ni, nj, sign(sets[i]), sign(sets[j])):
+                    want.add((i, j))
+    got = [tuple(r) for r in jaccard_join._open_pairs(blocks, components, bits).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
 def test_walk_is_exact():
     import numpy as np
 
