@@ -11,8 +11,9 @@ A text's set holds its distinct 4-word shingles as 64-bit hashes. Sets link when
 3. Sets that link share a shingle among the first n - ceil(0.85 n) + 1 of each. These prefixes
    are grouped by shingle; length and position bounds leave the candidate pairs.
 4. First round: in every group all members are paired with one centre only. Pairs are
-   verified, links make components. Second round: all pairs of a group whose members
-   are still in different components, so no link between components is lost,
+   verified, links make components. Second round: in groups whose members are still in
+   different components, every member outside the largest one is held against the members of
+   other components with a length that allows a link, so no link between components is lost,
    while a group of thousands of near copies costs one pair per member.
 5. Bit signatures bound each pair's overlap from above and drop what can't link. The rest is
    verified by a prefix tree: the sets that are paired with one text, frequent
