@@ -462,3 +462,31 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(documents(spark, sf_dir))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT DISTINCT doc_id, w FROM (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents)),
+grams AS (
+  SELECT DISTINCT doc_id, hash(g) AS h, g FROM (
+    SELECT doc_id, list_slice(w, i + 1, i + {WORDS}) AS g
+    FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - {WORDS - 1}, 1) END)) AS i FROM d))),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+numbered AS (SELECT doc_id, dense_rank() OVER (ORDER BY h, g) AS s FROM grams),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM numbered x JOIN numbered y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE {HIGH} * shared.n >= {LOW} * (p.n + q.n - shared.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a, b FROM edges
+  UNION
+  SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT documents.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, CAST(least(documents.doc_id, low) AS BIGINT) AS component_id
+FROM documents LEFT JOIN sizes ON sizes.doc_id = documents.doc_id LEFT JOIN lowest ON lowest.a = documents.doc_id"""

@@ -128,3 +128,43 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = K,
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
+
+
+def oracle_sql(phrases=PHRASES, notices=NOTICES, gap: int = GAP, coverage: float = COVERAGE) -> str:
+    templates = ",\n    ".join(f"({i}, '{label}', {i < len(phrases)}, '{text}')" for i, (text, label) in enumerate((*phrases, *notices)))
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '{_SPLIT}'), lambda x: x <> '') AS w
+  FROM documents),
+templates(template, label, exact, t) AS (VALUES
+    {templates}),
+grams AS (SELECT r, i AS pos, [w[i + 1], w[i + 2], w[i + 3]] AS g FROM (SELECT r, w, unnest(range(len(w) - 2)) AS i FROM d)),
+own AS (
+  SELECT template, label, exact, len(w) - 2 AS size, i AS tpos, [w[i + 1], w[i + 2], w[i + 3]] AS g
+  FROM (SELECT *, unnest(range(len(w) - 2)) AS i FROM (SELECT *, string_split(t, ' ') AS w FROM templates))),
+votes AS (
+  SELECT r, template, label, exact, size, pos - tpos AS diagonal, count(*) AS n
+  FROM grams JOIN own ON own.g = grams.g GROUP BY ALL),
+marked AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER by_template <= CASE WHEN exact THEN 0 ELSE {gap} END THEN 0 ELSE 1 END AS far
+  FROM votes WINDOW by_template AS (PARTITION BY r, template ORDER BY diagonal)),
+spanned AS (SELECT *, sum(far) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM marked),
+spans AS (
+  SELECT r, template, label, exact, size, min(diagonal) AS start, CAST(least(sum(n), size) AS BIGINT) AS n
+  FROM spanned GROUP BY r, template, label, exact, size, span),
+found AS (
+  SELECT r, count(*) FILTER (exact AND n = size) AS n_base, min(start) FILTER (exact AND n = size) AS first_word,
+         max(start) FILTER (exact AND n = size) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND n = size) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN exact THEN n = size ELSE n / size >= {coverage} END) AS labels,
+         max(n / size) AS score
+  FROM spans GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN found ON found.r = d.r"""
+
+
+ORACLE_SQL = oracle_sql()

@@ -197,3 +197,52 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(counted, chosen, "lang").select(
         "doc_id", *(F.col(f"__q.{c}").alias(c) for c in COUNTS), base_failed().alias("base_failed"), kept.alias("kept")
     )
+
+
+def oracle_sql(stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> str:
+    tried = ", ".join(f"('{rule}', CAST({c} AS DOUBLE))" for rule, cutoffs in GRID.items() for c in cutoffs)
+    value = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {rule}" for rule in GRID) + " END"
+    alpha = risk / len(GRID)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {stratum} AS stratum, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (SELECT r, i, [w[i + 1], w[i + 2], w[i + 3]] AS g FROM (SELECT r, w, unnest(range(len(w) - 2)) AS i FROM d)),
+repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY r),
+c AS (
+  SELECT d.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(len(lines) AS BIGINT) AS n_lines,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered ON covered.r = d.r),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / nullif(word_chars, 0) AS symbol_ratio,
+         n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio, n_repeat_words / nullif(n_words, 0) AS repeat_ratio,
+         word_chars / nullif(n_words, 0) AS long_words
+  FROM c),
+truth AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+grid(rule, cutoff) AS (VALUES {tried}),
+tests AS (
+  SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND hit) AS k,
+         count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (NOT good AND hit) AS rejected
+  FROM (SELECT stratum, good, rule, cutoff, coalesce({value} > cutoff, false) AS hit
+        FROM f JOIN truth ON truth.doc_id = f.doc_id, grid WHERE NOT base_failed)
+  GROUP BY stratum, rule, cutoff),
+terms AS (SELECT *, unnest(range(k + 1)) AS j FROM tests),
+chosen AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff
+  FROM (SELECT stratum, rule, cutoff FROM terms WHERE n > 0 AND k <= {alpha} * n AND rejected * n > k * n_bad
+        GROUP BY stratum, rule, cutoff, n, k
+        HAVING sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))
+               <= {delta} / (SELECT count(*) FROM tests))
+  GROUP BY stratum, rule),
+hit AS (
+  SELECT DISTINCT r FROM f JOIN chosen ON f.stratum IS NOT DISTINCT FROM chosen.stratum WHERE {value} > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND hit.r IS NULL AS kept
+FROM f LEFT JOIN hit ON hit.r = f.r"""
+
+
+ORACLE_SQL = oracle_sql()

@@ -451,3 +451,21 @@ def test_both_tokenizer_libraries_agree_where_the_faster_one_is_used():
         c = chr(code)
         for t in (c, f"a{c}b", f" {c} 1", f"{c * 3}  x", f"1{c}'s"):
             assert ids.fast.encode_ordinary(t) == ids.slow.encode(t, add_special_tokens=False).ids, (code, t)
+
+
+@pytest.mark.parametrize("name", ["op4_ngram_jaccard_join", "op5_license_scan", "op6_quality_rules", "op9_exact_dedup"])
+def test_sql_gives_the_same_rows(spark, docs, name, tmp_path):
+    import duckdb
+
+    from rolltrace.llm import registry
+
+    docs.unionByName(docs.filter("doc_id % 7 = 0")).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, 0) for i in range(len(TEXTS))] + [(3, None, 0), (10**6, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    found = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    got = registry.queries()[name](spark, str(tmp_path)).select(columns).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(found.fetchall())
