@@ -136,13 +136,12 @@ def thresholds(counted: DataFrame, labels: DataFrame, stratum: str, risk: float,
     )
     tests = materialise(tests, "quality-tests")
     alpha = F.lit(risk / len(grid))
-    n_tests = tests.agg(F.count(F.lit(1)).alias("tests"))
+    level = F.lit(delta / max(tests.count(), 1))
     # more hits than alpha * n can't pass, so the sum needs no terms beyond
     p_value = F.when(F.col("false_rejected") <= alpha * F.col("n_good"), binomial_cdf(F.col("false_rejected"), F.col("n_good"), alpha)).otherwise(1.0)
     passed = (
-        tests.join(F.broadcast(n_tests))
-        .withColumn("p_value", p_value)
-        .filter((F.col("n_good") > 0) & (F.col("p_value") <= F.lit(delta) / F.col("tests")))
+        tests.withColumn("p_value", p_value)
+        .filter((F.col("n_good") > 0) & (F.col("p_value") <= level))
         .filter(F.col("rejected") * F.col("n_good") > F.col("false_rejected") * F.col("n_bad"))
     )
     kept = F.struct("cutoff", "n_good", "false_rejected", "n_bad", "rejected", "p_value")
