@@ -1,10 +1,12 @@
-"""Substring dedup by hashing lines, and the sentences within them.
+"""Substring dedup by hashing paragraphs, lines, sentences and winnowed windows.
 
-Each text is cut into units: its lines, and the sentences of lines that have more than one
-(so that a passage put inside a paragraph is found too). A unit of ``min_words`` words or
-more is normalised (lower case, words joined by single blanks) and digested to
-128 bits. Digests are grouped globally; the occurrence that ranks first by (doc_id, start)
-stays and all others are removed, with offsets into the original text.
+Each text is cut into units: its paragraphs (between blank lines), its lines whatever their
+length, and the sentences of ``min_words`` words or more of lines that have several.
+Besides, winnowing picks windows of ``WINDOW`` words by a digest of the words there, so that
+every passage of ``PASSAGE`` words shares one with its copies, wherever its borders and
+its line breaks fall. A unit is normalised (lower case, words joined by single blanks) and
+digested to 128 bits. Digests are grouped globally; the occurrence that ranks first by
+(doc_id, start) stays and all others are removed, with offsets into the original text.
 
 The grouping is a minimum per digest, which is combined before the shuffle, so a line
 that a third of the texts share is one row per task there. Only digests that occur twice go
@@ -21,36 +23,63 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, documents, materialise, text_of
 
-#: Shorter units are left alone: a few words repeat by chance.
-MIN_WORDS = 10
+#: Floor for sentences inside a line; lines themselves have none.
+MIN_WORDS = 3
+#: Every passage of PASSAGE words holds a window of WINDOW words that its copies hold too.
+PASSAGE, WINDOW = 50, 20
 
+_PARAGRAPH = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
 _LINE = re.compile(r"[^\n]+")
+_WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"\S[^.!?]*(?:[.!?]+(?!\s)[^.!?]*)*[.!?]*")
 
 
+def _spans(text: str, min_words: int) -> Iterator[tuple[int, int]]:
+    """Paragraphs, lines and sentences, white space around them included; some come twice."""
+    for paragraph in _PARAGRAPH.finditer(text):
+        yield paragraph.span()
+        for line in _LINE.finditer(text, *paragraph.span()):
+            yield line.span()
+            parts = [x.span() for x in _SENTENCE.finditer(text, *line.span())]
+            yield from ((a, b) for a, b in parts if len(parts) > 1 and len(text[a:b].split()) >= min_words)
+
+
+def _windows(text: str) -> Iterator[tuple[int, int]]:
+    """Windows by winnowing: of those that start in a passage, the one whose first two words have the least digest."""
+    places = [x.span() for x in _WORD.finditer(text)]
+    if len(places) < PASSAGE:
+        return
+    sums = np.array([zlib.crc32(text[a:b].lower().encode("utf-8", "surrogatepass")) for a, b in places], np.uint64)
+    pairs = ((sums[:-1] * np.uint64(31) + sums[1:]) * np.uint64(0x9E3779B97F4A7C15))[: len(places) - WINDOW + 1]
+    starts = PASSAGE - WINDOW + 1
+    # of equal ones the last, so that a word said on and on has windows all along
+    least = np.lib.stride_tricks.sliding_window_view(pairs, starts)[:, ::-1].argmin(axis=1)
+    for k in np.unique(np.arange(len(least)) + starts - 1 - least).tolist():
+        yield places[k][0], places[k + WINDOW - 1][1]
+
+
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of a text's units, in code points."""
-    for line in _LINE.finditer(text):
-        a, words = line.start(), line[0].lower().split()
-        if len(words) < min_words:
-            continue
-        own = line[0].rstrip()
-        start = a + len(own) - len(own.lstrip())
-        yield start, a + len(own), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
-        parts = list(_SENTENCE.finditer(line[0]))
-        if len(parts) > 1:
-            for part in parts:
-                inner = part[0].lower().split()
-                if len(inner) >= min_words:
-                    yield a + part.start(), a + part.start() + len(part[0].rstrip()), hashlib.blake2b(" ".join(inner).encode(), digest_size=16).digest()
+    spans, reach = set(), {}
+    for a, b in (*_spans(text, min_words), *_windows(text)):
+        own = text[a:b].rstrip()
+        spans.add((a + len(own) - len(own.lstrip()), a + len(own)))
+    for start, end in sorted(spans):
+        digest = hashlib.blake2b(" ".join(text[start:end].lower().split()).encode(), digest_size=16).digest()
+        # one that overlaps the last of its kind would take from the one that stays
+        if start >= reach.get(digest, 0):
+            reach[digest] = end
+            yield start, end, digest
 
 
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -79,9 +108,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every occurrence but the first of every repeated unit: doc_id, start, end."""
     table = materialise(unit_table(docs, min_words), "units")
     rank = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("start")
-    ranked = table.withColumn("rank", rank.cast("decimal(38,0)"))
-    first = ranked.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return ranked.join(first, "digest").filter("rank > first").select("doc_id", "start", "end")
+    rank = rank.cast("decimal(38,0)")
+    first = table.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # ranked after the join, whose shuffle is narrower without
+    return table.join(first, "digest").filter(rank > F.col("first")).select("doc_id", "start", "end")
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -81,6 +81,24 @@ def test_passage_inside_a_paragraph_is_found(docs):
     assert by_id(substring_dedup.substring_dedup(docs))[passage]["n_removed"] >= 1
 
 
+def test_short_lines_and_passages_without_whole_long_sentences(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("aeinrstlo", k=7))
+    some = lambda n: " ".join(word() for _ in range(n))
+    short = " ".join(f"{some(rng.randint(1, 4))}." for _ in range(30))
+    inner, same = some(60), "and " * 60
+    wrapped = [f"{short} end", short.replace(" ", "\n", 40)]
+    texts = [f"{some(30)}\nOne Short  line\n{some(30)}", f"{some(20)}\n one short line \n{some(20)}", *wrapped,
+             f"{some(25)} {inner} {some(25)}.", f"{some(14)} {inner} {some(33)}.", f"{some(9)} {same}{some(9)}", f"{some(8)} {same}{some(8)}"]
+    left = by_id(substring_dedup.remove_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    for i in (0, 2, 4):
+        assert left[i]["text"] == texts[i]  # first
+    assert "line" not in left[1]["text"] and len(left[1]["text"].split()) == 40
+    for i in (3, 5, 7):  # one window of the passage at least
+        assert len(left[i]["text"].split()) <= len(texts[i].split()) - substring_dedup.WINDOW
+    assert left[7]["text"].split().count("and") < left[6]["text"].split().count("and")
+
+
 # 2
 
 ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
