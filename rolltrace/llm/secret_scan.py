@@ -2,10 +2,11 @@
 
 Two first-order models over the characters of keys are trained from labelled samples: one
 on random strings, one on ordinary identifiers. A candidate token (20 or more characters
-of ``A-Za-z0-9+/_=-`` with a letter and a digit among them, outside every pattern's
-span) is a secret of kind ``random`` when its log-likelihood ratio per step is over
-``margin``. The default samples are generated from a fixed seed, so that the models are the
-same everywhere; pass labelled samples of your own to :func:`train`.
+of ``A-Za-z0-9+/_=-`` with a letter and a digit among them, or what the patterns' spans
+leave of such a token) is a secret of kind ``random`` when its log-likelihood ratio per step
+is over ``margin``; else each of its parts between ``/``, ``=`` and ``-`` is one if its own
+is. The default samples are generated from a fixed seed, so that the models are the same
+everywhere; pass labelled samples of your own to :func:`train`.
 
 Spans are in code points, end exclusive, and cover the whole match. Defined
 cases: null text is empty and has no spans; long texts are scanned whole; repeated
@@ -43,6 +44,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 # maximal runs, so asking for the length at once finds the same spans
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
+_PART = re.compile(r"[^/=-]+")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 _WORDS = (
@@ -128,14 +130,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _parts(start: int, token: str) -> Iterator[tuple[int, int]]:
+    """The stretches of a token between '/', '=' and '-', of MIN_TOKEN characters or more."""
+    for m in _PART.finditer(token):
+        if len(m[0]) >= MIN_TOKEN:
+            yield start + m.start(), start + m.end()
+
+
 def method_spans(text: str, taken: list[tuple[int, int, int]], model: Markov) -> list[tuple[int, int, int]]:
     out, k, reach = [], 0, 0
+    random_at = lambda a, b: b - a >= MIN_TOKEN and any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b]) and model.is_random(text[a:b])
     for m in _TOKEN.finditer(text):
-        token = m[0]
+        # what base spans leave of the token
+        free, at = [], max(m.start(), reach)
         while k < len(taken) and taken[k][0] < m.end():
+            if taken[k][0] > at:
+                free.append((at, taken[k][0]))
             reach, k = max(reach, taken[k][2]), k + 1
-        if reach <= m.start() and any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and model.is_random(token):
-            out.append((m.start(), 3, m.end()))
+            at = max(at, reach)
+        if at < m.end():
+            free.append((at, m.end()))
+        for a, b in free:
+            if random_at(a, b):
+                out.append((a, 3, b))
+            else:
+                out += [(x, 3, y) for x, y in _parts(a, text[a:b]) if random_at(x, y)]
     return out
 
 

@@ -132,6 +132,23 @@ def test_markov_models_on_held_out_samples():
     assert hit[0] <= 0.01 and hit[1] >= 0.95
 
 
+def test_keys_behind_paths_and_prefixes_and_beside_base_spans():
+    rng, model = random.Random(17), secret_scan.default_model()
+    letters = secret_scan._ALPHABET[:62]
+    for before in ("com/static/assets/vendor/widgets/", "https/example/content/library/manager/upload/", "session_signature_value=", "content-security-policy-"):
+        hit = 0
+        for _ in range(200):
+            key = "".join(rng.choices(letters, k=32))
+            text = f"see {before}{key} there"
+            hit += any(a <= text.index(key) and b >= text.index(key) + 32 for a, _, b in secret_scan.scan(text, model)[1])
+        assert hit >= 190, (before, hit)
+    key = "Zx9Qp2Lm7Vt4Rk8Wc1Yb5Nd3"
+    text = f"{'deadbeef' * 3}/{key}"
+    assert secret_scan.scan(text, model)[1] == [(24, 3, len(text))]
+    for plain in ("com/static/assets/vendor/widgets/container_2020", "layout-manager-version-2-release-notes/content/library"):
+        assert not secret_scan.scan(plain, model)[1]
+
+
 # 3
 
 
