@@ -6,17 +6,20 @@ Besides, winnowing picks windows of ``WINDOW`` words by a digest of the words th
 every passage of ``PASSAGE`` words shares one with its copies, wherever its borders and
 its line breaks fall. A unit is normalised (lower case, words joined by single blanks) and
 digested to 128 bits. Digests are grouped globally; the occurrence that ranks first by
-(doc_id, start) stays and all others are removed, with offsets into the original text.
+(doc_id, digest of the text, row, start) stays and all others are removed, with offsets into the original text.
 
 The grouping is a minimum per digest, which is combined before the shuffle, so a line
 that a third of the texts share is one row per task there. Only digests that occur twice go
-on to the join that finds the occurrences to remove.
+on to the join that finds the occurrences to remove; the most frequent ones join by broadcast
+where their occurrences are, so none of them gathers in a task.
 
-Defined cases: null text has no units and nothing is removed; null ids rank last; rows
-repeated with the same id are occurrences of the same rank, of which none is removed
-unless an earlier one exists, and their spans are given once per id; overlapping spans (a
-line and its sentences) merge; an empty table gives an empty table; other columns are
-ignored by the query and kept by :func:`remove_spans`.
+Units carry the number of the row they stand in, given once when they are written, and what is
+removed goes by this number: rows that share an id, or have none, never share offsets.
+
+Defined cases: null text has no units and nothing is removed; null ids rank last; a row that
+occurs twice keeps its units in the first copy only, as does a text under two ids; overlapping spans (a
+line and its sentences) merge; an empty table gives an empty table; other columns, whatever
+their names, are ignored by the query and kept by :func:`remove_spans`.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bounded_batches, documents, materialise, text_of
+from .common import by_hot_and_cold, documents, free_name, keyed, materialise, row_slices, text_of
 
 #: Floor for sentences inside a line; lines themselves have none.
 MIN_WORDS = 3
@@ -82,59 +87,57 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, byt
             yield start, end, digest
 
 
-def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end, digest."""
-    bounded_batches(docs.sparkSession)
+def unit_table(docs: DataFrame, min_words: int = MIN_WORDS, rid: str | None = None) -> DataFrame:
+    """rid, doc_id, mark (a digest of the text), start, end, digest: every unit, and for every row of
+    ``docs`` one more with start -1 and no digest. ``rid`` names a column that tells rows apart;
+    without, rows are numbered here, and the table has to be written before it is used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, starts, ends, digests = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for start, end, digest in units(text, min_words):
-                    ids.append(doc_id)
-                    starts.append(start)
-                    ends.append(end)
-                    digests.append(digest)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())],
-                ["doc_id", "start", "end", "digest"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start int, end int, digest binary")
-
-
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every occurrence but the first of every repeated unit: doc_id, start, end."""
-    table = materialise(unit_table(docs, min_words), "units")
-    rank = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("start")
-    rank = rank.cast("decimal(38,0)")
-    first = table.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    # ranked after the join, whose shuffle is narrower without
-    return table.join(first, "digest").filter(rank > F.col("first")).select("doc_id", "start", "end")
+        row = TaskContext.get().partitionId() << 33
+        for batch in row_slices(batches):
+            rows = []
+            numbers = range(row, row + batch.num_rows) if rid is None else batch.column("rid").to_pylist()
+            row += batch.num_rows
+            for number, doc_id, text in zip(numbers, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                mark = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+                rows.append((number, doc_id, mark, -1, 0, None))
+                rows += [(number, doc_id, mark, *unit) for unit in units(text, min_words)]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["rid", "doc_id", "mark", "start", "end", "digest"])
+
+    own = [] if rid is None else [F.col(rid).cast("long").alias("rid")]
+    rows = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return rows.mapInArrow(run, "rid long, doc_id long, mark long, start int, end int, digest binary")
+
+
+def repeated_spans(table: DataFrame) -> DataFrame:
+    """Every occurrence but the first of every repeated unit of a written :func:`unit_table`: rid, start, end."""
+    occurrences = table.filter("digest IS NOT NULL")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "rid", "start")
+    first = occurrences.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = materialise(first, "repeated-units")
+    total = occurrences.count()
+    found = by_hot_and_cold(occurrences.drop("doc_id", "mark"), first, ["digest"], "n", total)
+    # the first occurrence is told by its row and place
+    return found.filter((F.col("rid") != F.col("first.rid")) | (F.col("start") != F.col("first.start"))).select("rid", "start", "end")
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """doc_id, and ``removed``: its disjoint (start, end) spans in order."""
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]),
-        F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["end"]).alias("end"))),
-        ),
-    ).otherwise(F.concat(acc, F.array(x)))
-    listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return listed.select("doc_id", F.aggregate("all", none, step).alias("removed"))
+    """rid, and ``removed``: its disjoint (start, end) spans in order."""
+    before = Window.partitionBy("rid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int")
+    upto = Window.partitionBy("rid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = spans.withColumn("apart", apart).withColumn("run", F.sum("apart").over(upto))
+    disjoint = runs.groupBy("rid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return disjoint.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_removed, removed_chars, spans ("start:end,..." of the original text) per row."""
-    found = merged(repeated_spans(docs, min_words)).select(F.col("doc_id").alias("__id"), "removed")
+    table = materialise(unit_table(docs, min_words), "units")
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     shown = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(
+    return table.filter("start < 0").select("rid", "doc_id").join(merged(repeated_spans(table)), "rid", "left").select(
         "doc_id",
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(size, F.lit(0).cast("long")).alias("removed_chars"),
@@ -144,16 +147,24 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def remove_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the repeated units in ``text``; all other columns as they were."""
-    found = merged(repeated_spans(docs, min_words)).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
-    text = F.col("text")
-    gone = F.aggregate(
-        "__removed",
-        F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["kept"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"])).alias("kept"), x["end"].alias("at")),
-        lambda acc: F.concat(acc["kept"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    return joined.withColumn("text", F.when(F.col("__removed").isNull(), text).otherwise(gone)).select(docs.columns)
+    rows, rid = keyed(docs, "substring-dedup-docs")
+    table = materialise(unit_table(rows, min_words, rid), "units")
+    gone = free_name("gone", rows.columns)
+    found = merged(repeated_spans(table)).select(F.col("rid").alias(rid), F.col("removed").alias(gone))
+    joined = rows.join(found, rid, "left").select(*(f"`{c}`" for c in docs.columns), gone)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            texts = batch.column(at).to_pylist()
+            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if spans:
+                    edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(texts[k])]
+                    texts[k] = "".join([texts[k][a:b] for a, b in zip(edges[::2], edges[1::2])])
+            left = batch.select(range(batch.num_columns - 1))
+            yield left.set_column(at, left.schema.field(at), pa.array(texts, left.schema.field(at).type))
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
