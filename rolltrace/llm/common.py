@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a folder of our own only where it is unset."""
+    """The shared folder named by the cluster; a folder of our own only in local mode, where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rolltrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -59,13 +63,37 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-#: Rows that one Arrow batch may hold, so that a worker never has thousands of long texts at once.
+#: Rows that a worker takes from an Arrow batch at once, so that it never has thousands of long texts as objects.
 BATCH_ROWS = 500
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` with a number for every row, in a column whose name is free, and that name. Written out,
+    so that a row keeps its number whatever is computed again."""
+    rid = free_name("rid", df.columns)
+    return materialise(df.withColumn(rid, F.monotonically_increasing_id()), name), rid
+
+
+#: Keys that one :func:`by_hot_and_cold` may call hot.
+HOT_KEYS = 4096
+
+
+def by_hot_and_cold(rows: DataFrame, groups: DataFrame, key: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row per key, ``n`` rows of ``rows`` each) on ``key``.
+
+    Keys that hold more than ``total / HOT_KEYS`` rows go by broadcast, so their rows stay where they
+    are: there are at most HOT_KEYS of them, whatever the data. All others are shuffled, and
+    none of these fills a task."""
+    least = total // HOT_KEYS
+    hot, cold = groups.filter(F.col(n) > least), groups.filter(F.col(n) <= least)
+    names = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(names, key, "left_anti").join(cold, key))
 
 
 def ascii_lower(value: Column) -> Column:

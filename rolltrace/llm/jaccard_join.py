@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialise, text_of
+from .common import documents, materialise, row_slices, text_of
 
 WORDS, LOW, HIGH = 4, 85, 100
 #: Shingles with an order of their own, counted in blocks of so many shingles from so many sets on.
@@ -152,7 +152,6 @@ class Order:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
 
@@ -178,7 +177,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             none = [None] * len(values)
             return batch_of(none, counts, none, none, list(none), values.view(np.int64))
 
-        for batch in batches:
+        for batch in row_slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 values = shingle_set(text)
@@ -211,7 +210,7 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = order.value, set()
-        for batch in batches:
+        for batch in row_slices(batches):
             tokens, parts, rows, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingle_set(text)
@@ -242,7 +241,7 @@ def _shared(entries: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, alone = None, None  # the row before; that of a token with one class so far
-        for batch in batches:
+        for batch in row_slices(batches):
             if not batch.num_rows:
                 continue
             if alone is not None:
@@ -344,7 +343,7 @@ def _within_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in row_slices(batches):
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
@@ -360,7 +359,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = order.value
-        for batch in batches:
+        for batch in row_slices(batches):
             sets = [own.frequent_first(shingle_set(t)) for t in batch.column("text").to_pylist()]
             cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], ["node", "n", "bits", "blob"])
@@ -386,7 +385,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
             others.clear()
             return pa.RecordBatch.from_arrays([pa.array([at] * len(good), pa.int64()), pa.array(good, pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in row_slices(batches):
             for a, b, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "blob"))):
                 if b is None:
                     if ids:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialise, text_of
+from .common import documents, materialise, row_slices, text_of
 
 CAPACITY, END_ID = 1024, 2
 #: Free tokens up to which a bin counts as nearly full.
@@ -75,11 +75,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _ids(json_path, ranks_path, pattern)
-        for batch in batches:
+        for batch in row_slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.array([*own.encode(text), end_id], "<u4")
