@@ -1,17 +1,16 @@
 """Secret scan: fixed patterns, and character Markov models for what they miss.
 
 Two first-order models over the characters of keys are trained from labelled samples: one
-on random strings, one on ordinary identifiers. A candidate token (20 or more characters
-of ``A-Za-z0-9+/_=-`` with a letter and a digit among them, or what the patterns' spans
-leave of such a token) is a secret of kind ``random`` when its log-likelihood ratio per step
-is over ``margin``; else each of its parts between ``/``, ``=`` and ``-`` is one if its own
-is. The default samples are generated from a fixed seed, so that the models are the same
-everywhere; pass labelled samples of your own to :func:`train`.
+on random strings, one on ordinary identifiers. A candidate token (16 or more characters
+of ``A-Za-z0-9+/_=-``, or what the patterns' spans leave of such a token) is a secret of kind
+``random`` when its log-likelihood ratio per step is over ``margin`` and in total over ``evidence``;
+else each of its parts between ``/``, ``=`` and ``-`` is one if its own is. The default samples are
+generated from a fixed seed, so that the models are the same everywhere; pass labelled samples of your own to :func:`train`.
 
 Spans are in code points, end exclusive, and cover the whole match. Defined
-cases: null text is empty and has no spans; long texts are scanned whole; repeated
+cases: null text is empty and has no spans; long texts are scanned whole; null ids are carried and repeated
 rows come back each; ties at one start are ordered by kind; an empty table gives an empty
-table; other columns are ignored.
+table; other columns, whatever their names, are ignored by the query and kept by :func:`mask_secrets`.
 """
 
 from __future__ import annotations
@@ -32,9 +31,9 @@ from .common import documents, row_slices, text_of
 KINDS = ("assign", "access", "hex", "random")
 #: Labelled samples of each class that the default models are trained on.
 SAMPLES = 4000
-#: Log-likelihood ratio per character step over which a token is random.
-MARGIN = 0.35
-MIN_TOKEN = 20
+#: Log-likelihood ratios over which a token is random: per character step, and in total.
+MARGIN, EVIDENCE = 0.35, 10.0
+MIN_TOKEN = 16
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -63,7 +62,11 @@ _WORDS = (
     "session setting shadow shared simple single size snapshot socket source spark stage start state status storage store stream "
     "string style submit summary support switch symbol system table target task template test text theme thread title token tool "
     "total trace track transfer trigger type update upload user utility value vector version video view visible warning web weight "
-    "widget width window worker wrapper writer"
+    "widget width window worker wrapper writer abteilung anschluss aufgabe beispiel bezeichnung einstellung ergebnis fenster funktion "
+    "geschichte gesellschaft kunde leitung nachricht netzwerk pflege rechnung schluss sprache stelle verzeichnis zeichen zeitung "
+    "adresse affichage beaucoup chemin compte connexion dossier erreur feuille fichier jeux lieu liste niveau nouveau question "
+    "quelque reseau tableau travail utilisateur valeur voix archivo busqueda cantidad codigo contenido cuenta direccion empresa "
+    "mensaje nombre numero pagina pedido prueba servicio sistema tiempo trabajo usuario ventana"
 ).split()
 
 
@@ -78,6 +81,13 @@ def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, int]]:
         if rng.random() < 0.6:
             words.insert(rng.randint(1, len(words)), str(rng.choice((rng.randint(0, 9), rng.randint(10, 999), rng.randint(1990, 2030)))))
         style = k % 6
+        if k % 24 == 7:  # a ruled line, whole or with corners
+            mark = rng.choice("-=_+/")
+            out.append((rng.choice("+-/=_").join([mark * rng.randint(4, 30)] * rng.randint(1, 5)), 0))
+            continue
+        if k % 24 == 19:  # an option, or a path from the root
+            out.append((rng.choice(("--", "-", "//", "/")) + rng.choice("-/").join(words), 0))
+            continue
         joined = {0: "_", 1: "-", 2: "/"}.get(style, "").join(w.capitalize() if style == 3 or style == 4 and i else w for i, w in enumerate(words))
         out.append((joined.upper() if style == 0 and k % 4 == 0 else joined, 0))
     return out
@@ -86,8 +96,8 @@ def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, int]]:
 class Markov:
     """Log-likelihood ratio of two first-order models over the characters of keys."""
 
-    def __init__(self, ratio: np.ndarray, margin: float):
-        self.ratio, self.margin = ratio, margin
+    def __init__(self, ratio: np.ndarray, margin: float, evidence: float):
+        self.ratio, self.margin, self.evidence = ratio, margin, evidence
 
     def score(self, token: str) -> float:
         """Mean ratio per step; over 0 means more like a random string."""
@@ -95,7 +105,8 @@ class Markov:
         return float(self.ratio[x[:-1], x[1:]].mean()) if len(x) > 1 else 0.0
 
     def is_random(self, token: str) -> bool:
-        return self.score(token) > self.margin
+        mean = self.score(token)
+        return mean > self.margin and mean * (len(token) - 1) > self.evidence
 
 
 _CODES = np.zeros(256, np.int64)
@@ -103,14 +114,14 @@ for _i, _c in enumerate(_ALPHABET):
     _CODES[ord(_c)] = _i
 
 
-def train(samples: Iterable[tuple[str, int]], margin: float = MARGIN, smooth: float = 0.5) -> Markov:
+def train(samples: Iterable[tuple[str, int]], margin: float = MARGIN, evidence: float = EVIDENCE, smooth: float = 0.5) -> Markov:
     """Both models from (string over the key alphabet, 1 random / 0 ordinary) pairs."""
     counts = np.full((2, len(_ALPHABET), len(_ALPHABET)), smooth)
     for text, label in samples:
         x = _CODES[np.frombuffer(text.encode("ascii"), np.uint8)]
         np.add.at(counts[int(label)], (x[:-1], x[1:]), 1)
     logs = np.log(counts / counts.sum(axis=2, keepdims=True))
-    return Markov(logs[1] - logs[0], margin)
+    return Markov(logs[1] - logs[0], margin, evidence)
 
 
 @lru_cache(maxsize=1)
@@ -139,7 +150,7 @@ def _parts(start: int, token: str) -> Iterator[tuple[int, int]]:
 
 def method_spans(text: str, taken: list[tuple[int, int, int]], model: Markov) -> list[tuple[int, int, int]]:
     out, k, reach = [], 0, 0
-    random_at = lambda a, b: b - a >= MIN_TOKEN and any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b]) and model.is_random(text[a:b])
+    random_at = lambda a, b: b - a >= MIN_TOKEN and model.is_random(text[a:b])
     for m in _TOKEN.finditer(text):
         # what base spans leave of the token
         free, at = [], max(m.start(), reach)
