@@ -2,21 +2,27 @@
 
 1. Texts become token ids plus an end id; longer ones than a sequence are cut into full
    pieces, the first of which may be shorter. This table of pieces is written once.
-2. Each partition packs its pieces by best-fit decreasing. Full pieces and nearly full bins
-   are emitted; bins with more than ``slack`` free tokens go on.
+2. Each partition packs its pieces by best-fit decreasing, ``max_rows`` rows at a time. Full
+   pieces and nearly full bins are emitted; bins with more than ``slack`` free tokens go on.
 3. Those bins, each as one item, meet in ``fan_in`` times fewer partitions and are packed
    again, and so on up a tree. A level is as wide as ``max_rows`` rows per task asks for, so
-   no task ever holds an unbounded number of them; the last level emits everything.
+   no task ever holds an unbounded number of them. Where the tree can't become narrower, bins
+   meet others in a new deal, until a round closes or joins less than one in a hundred; the last level emits everything.
 
 Every level is written to the shared folder, so a lost executor repeats one task of it.
 
-Defined cases: null text is empty and is packed as its end id alone; repeated rows
-are packed each; an empty table gives an empty table; ties between bins of equal
-room go to the newest; other columns are ignored.
+Ids come from the tokenizers library alone. It splits a text into words and looks at one word at a
+time; a blank between two plain characters (see ``_BETWEEN``) always begins a word. Texts are
+cut there, and the library's ids of every stretch are remembered by the worker, up to a bound.
+
+Defined cases: null text is empty and is packed as its end id alone; null ids are carried; repeated
+rows are packed each; an empty table gives an empty table; ties between bins of equal
+room go to the newest; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -37,35 +43,58 @@ FAN_IN, MAX_ROWS = 8, 1_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _PACKED = _PIECES + ", sequence_id long, offset long, done boolean"
-#: Below this code point both libraries split alike (tested); above, the slower one decides.
-_SURE = "ɐ"
+#: A blank between two of these characters belongs to the word that follows, by any table of letters:
+#: printable ASCII, and letters of Latin, Greek and Cyrillic.
+_PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f"
+_BETWEEN = re.compile(f"(?<=[{_PLAIN}]) (?=[{_PLAIN}])")
+_EDGES = re.compile(f"[{_PLAIN}](?:.*[{_PLAIN}])?", re.S).fullmatch
+#: Stretches that a worker remembers, and the longest it remembers.
+KEPT, KEPT_LENGTH = 600_000, 40
 
 
 class Ids:
-    """Ids by the tokenizers file; its rank file's faster library where both agree."""
+    """Ids by the tokenizers file."""
 
-    def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
+    def __init__(self, json_path: str):
         from tokenizers import Tokenizer
 
-        self.slow, self.fast = Tokenizer.from_file(json_path), None
-        if ranks_path:
-            import tiktoken
-
-            from .byte_bpe import load_ranks
-
-            special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
-            self.marks = tuple(special)
-            self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens=special)
-
-    def encode(self, text: str) -> list[int]:
-        if self.fast is not None and (text.isascii() or max(text) < _SURE) and not any(m in text for m in self.marks):
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
+        self.tokenizer = Tokenizer.from_file(json_path)
+        #: ids of what follows a blank, the blank's own included
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(texts), 10_000):
+            out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        cut = [t.split(" ") for t in texts]
+        odd = [len(c) > 1 and not _EDGES(c[0]) for c in cut]
+        new = {x for parts in cut for x in parts[1:]}.difference(self.known)
+        bad = {x for x in new if not _EDGES(x)}
+        if bad or any(odd):  # some blank of these texts does not begin a word
+            for k, parts in enumerate(cut):
+                if odd[k] or not bad.isdisjoint(parts[1:]):
+                    cut[k] = _BETWEEN.split(texts[k])
+            new = {x for parts in cut for x in parts[1:]}.difference(self.known)
+        if len(self.known) + len(new) > KEPT:
+            self.known = {}
+            new = {x for parts in cut for x in parts[1:]}
+        new, known = list(new), self.known
+        known.update(zip(new, self._ids([f" {x}" for x in new])))
+        firsts = self._ids([c[0] for c in cut])
+        out = [np.frombuffer(b"".join([first, *map(known.__getitem__, parts[1:])]), "<u4") for first, parts in zip(firsts, cut)]
+        for x in new:
+            if len(x) > KEPT_LENGTH:
+                del known[x]
+        return out
 
 
 @lru_cache(maxsize=2)
-def _ids(json_path: str, ranks_path: str | None, pattern: str | None) -> Ids:
-    return Ids(json_path, ranks_path, pattern)
+def _ids(json_path: str) -> Ids:
+    return Ids(json_path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -74,19 +103,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((k, capacity) for k in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-
+def pieces(docs: DataFrame, json_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _ids(json_path, ranks_path, pattern)
+        own = _ids(json_path)
         for batch in row_slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*own.encode(text), end_id], "<u4")
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist())):
+                ids = np.append(ids, np.array([end_id], "<u4")).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            cols = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, _PIECES)
@@ -116,27 +143,47 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, capacity - np.array(room_of, np.int64)
 
 
-def _level(df: DataFrame, level: int, last: bool, capacity: int, slack: int) -> DataFrame:
-    """Pack what each partition holds; rows that share a sequence_id move as one item."""
+def _level(df: DataFrame, level: int, last: bool, capacity: int, slack: int, max_rows: int) -> DataFrame:
+    """Pack what each partition holds, ``max_rows`` rows at a time; from level 1 on rows arrive sorted by
+    sequence_id, and those that share one move as one item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        length = table.column("length").to_numpy()
-        if level:
-            _, item = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
-            inside = table.column("offset").to_numpy()
-            sizes = np.bincount(item, weights=length).astype(np.int64)
-        else:
-            item, inside, sizes = np.arange(len(length)), np.zeros(len(length), np.int64), length
-        bins, offsets, held = best_fit(sizes, capacity)
-        base = (level << 56) | (TaskContext.get().partitionId() << 32)
-        where = bins[item]
-        done = np.full(len(length), True) if last else (held >= capacity - slack)[where]
-        cols = [*(table.column(c) for c in _NAMES), pa.array(base + where), pa.array(inside + offsets[item]), pa.array(done)]
-        yield from pa.table(cols, names=[*_NAMES, "sequence_id", "offset", "done"]).to_batches(max_chunksize=50_000)
+        base = (level << 56) | (TaskContext.get().partitionId() << 36)
+        held_back: list[pa.RecordBatch] = []
+        rows = 0
+
+        def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal base
+            length = table.column("length").to_numpy()
+            if level:
+                _, item = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
+                inside = table.column("offset").to_numpy()
+                sizes = np.bincount(item, weights=length).astype(np.int64)
+            else:
+                item, inside, sizes = np.arange(len(length)), np.zeros(len(length), np.int64), length
+            bins, offsets, held = best_fit(sizes, capacity)
+            where = bins[item]
+            done = np.full(len(length), True) if last else (held >= capacity - slack)[where]
+            cols = [*(table.column(c) for c in _NAMES), pa.array(base + where), pa.array(inside + offsets[item]), pa.array(done)]
+            base += len(held)
+            yield from pa.table(cols, names=[*_NAMES, "sequence_id", "offset", "done"]).to_batches(max_chunksize=50_000)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held_back.append(batch)
+            rows += batch.num_rows
+            if rows >= max_rows:
+                table = pa.Table.from_batches(held_back)
+                at = rows
+                if level:  # the last item may go on in the next batch
+                    ids = table.column("sequence_id").to_numpy()
+                    at = int(np.searchsorted(ids, ids[-1]))
+                if at:
+                    yield from packed(table.slice(0, at))
+                    held_back, rows = table.slice(at).to_batches(), rows - at
+        if rows:
+            yield from packed(pa.Table.from_batches(held_back))
 
     return df.mapInArrow(run, _PACKED)
 
@@ -145,25 +192,27 @@ def best_fit_packing(cut_pieces: DataFrame, capacity: int = CAPACITY, slack: int
     """Places for the rows of :func:`pieces`: their columns, sequence_id and offset."""
     rows = materialise(cut_pieces, "pieces")
     width = rows.rdd.getNumPartitions()
-    level, done = 0, []
-    packed = materialise(_level(rows, 0, width <= 1, capacity, slack), "packed-0")
-    while width > 1:
+    packed = materialise(_level(rows, 0, False, capacity, slack, max_rows), "packed-0")
+    level, done, open_before = 0, [], None
+    while True:
         done.append(packed.filter("done"))
         left = packed.filter("NOT done").drop("done")
-        floor = -(-left.count() // max_rows)
-        narrow = max(-(-width // fan_in), floor, 1)
-        last, level = narrow == 1 or narrow >= width, level + 1
-        width = 1 if last else narrow
-        left = left.repartition(narrow, "sequence_id")
-        packed = materialise(_level(left, level, last, capacity, slack), f"packed-{level}")
-    return reduce(DataFrame.unionByName, [*done, packed]).drop("done")
+        n, open_bins = left.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
+        least = max(-(-n // max_rows), 1)
+        stuck = open_before is not None and width <= least and 100 * open_bins > 99 * open_before
+        width, level, open_before = max(-(-width // fan_in), least), level + 1, open_bins
+        last = least == width == 1 or stuck
+        dealt = left.repartition(width, F.xxhash64("sequence_id", F.lit(level))).sortWithinPartitions("sequence_id")
+        packed = materialise(_level(dealt, level, last, capacity, slack, max_rows), f"packed-{level}")
+        if last:
+            return reduce(DataFrame.unionByName, [*done, packed]).drop("done")
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
     """:func:`pieces` by the 50k byte-level file, then :func:`best_fit_packing`."""
     import public_tokenizers as p
 
-    return best_fit_packing(pieces(docs, p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN), **options)
+    return best_fit_packing(pieces(docs, p.path("byte_bpe_50k.json")), **options)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
