@@ -10,13 +10,14 @@ fallback, counts one per UTF-8 byte (without, a run of such characters counts on
 
 No vocabulary file of the box is a unigram model, so the query takes the pieces of the 32k
 sentence-piece file with their scores as a unigram vocabulary. Blanks become U+2581,
-one more leads the text. No piece crosses from another character into U+2581, nor
-over a line end (checked when loading), so paths break there and segments are counted
-once and remembered; a vocabulary without this property is run over whole texts.
+one more leads the text. In general a text is run as one piece, so that sums round as the
+tokenizer's do. Where all scores are whole numbers sums are exact wherever they start; if besides no
+piece crosses from another character into U+2581 or over a line end, paths break there, and
+the segments between are counted once and remembered. Both are checked when loading, for the vocabulary only.
 
 Defined cases: null and empty texts have no tokens and score 0; any text is counted whole,
-in memory linear in its longest segment; repeated rows come back each; empty table, empty
-result; other columns are ignored.
+in memory linear in its length; null ids are carried and repeated rows come back each; empty table, empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ class Unigram:
                 self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
         inner = re.compile(f"[^{SPACE_MARK}]{SPACE_MARK}|.\n|\n.", re.S)
-        self.breaks = byte_fallback and not any(inner.search(p) for p, _ in pieces)
+        exact = all(float(s).is_integer() for _, s in pieces)
+        self.breaks = exact and byte_fallback and not any(inner.search(p) for p, _ in pieces)
         self.known: dict[str, tuple[float, int]] = {}
 
     def viterbi(self, text: str) -> tuple[float, int]:
