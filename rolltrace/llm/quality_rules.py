@@ -9,13 +9,17 @@ rule and cutoff (Bonferroni); the strictest eligible cutoff of each rule is take
 that it rejects relatively more bad holdout texts than good ones. With the rules
 sharing ``risk`` equally, all of them together reject at most ``risk`` of a stratum's
 good texts, in every stratum at once, with probability 1 - ``delta``. A stratum with too
-few labels rejects nothing by these rules.
+few labels rejects nothing by these rules. Trials are distinct texts: copies of a text in a stratum
+count once, as the bound needs independent ones.
+
+The cutoffs meet the texts in an equi-join on the stratum. The cutoffs' side is repeated ``SALTS``
+times, so a stratum with a third of all rows is spread over that many tasks where the join is shuffled.
 
 Defined cases: a null or blank text has no words and fails the base; null
-labels are ignored; a document labelled both good and bad counts as good; labels of
-unknown documents are ignored; a null stratum is a stratum; repeated rows count each;
-an empty table of documents gives an empty table, empty labels reject nothing
-beyond the base; columns beyond doc_id, text and the stratum are carried untouched.
+labels are ignored; a text labelled both good and bad counts as good; labels of
+unknown documents, and with null ids, are ignored; a null stratum is a stratum; repeated rows come
+back each; an empty table of documents gives an empty table, empty labels reject nothing
+beyond the base; columns beyond doc_id, text and the stratum are carried untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, documents, let, materialise, once, text_of
+from .common import SPACE, SPACE_CHARS, documents, free_name, let, materialise, once, text_of
 
 #: Bound on the share of good texts that all rules together reject in a stratum.
 RISK = 0.05
@@ -38,8 +42,8 @@ GRID = {
     "repeat_ratio": (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4),
     "long_words": (8.0, 9.0, 10.0, 11.0, 12.0, 14.0, 16.0),
 }
-#: Up to so many strata their thresholds go into the plan as constants; beyond, by a join.
-MAX_INLINE = 256
+#: Tasks over which a stratum is spread where its cutoffs are joined by a shuffle.
+SALTS = 16
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -84,14 +88,14 @@ def counts(text: Column) -> Column:
     return F.struct(by_words.alias("w"), by_lines.alias("l"), by_chars.alias("c"))
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct column ``__q`` of the counts in COUNTS, and of n_lines."""
-    made = once(docs, "__made", counts(text_of()))
-    return made.withColumn("__q", F.struct("__made.w.*", "__made.l.*", "__made.c.*")).drop("__made")
+def with_counts(docs: DataFrame, q: str = "q") -> DataFrame:
+    """``docs`` with a struct column ``q`` of the counts in COUNTS, and of n_lines."""
+    made = free_name("made", [*docs.columns, q])
+    found = once(docs, made, counts(text_of()))
+    return found.withColumn(q, F.struct(f"{made}.w.*", f"{made}.l.*", f"{made}.c.*")).drop(made)
 
 
-def features() -> dict[str, Column]:
-    q = F.col("__q")
+def features(q: Column) -> dict[str, Column]:
     return {
         "symbol_ratio": F.try_divide(q["n_symbols"], q["word_chars"]),
         "dup_line_ratio": F.try_divide(q["n_dup_lines"], q["n_lines"]),
@@ -100,8 +104,7 @@ def features() -> dict[str, Column]:
     }
 
 
-def base_failed() -> Column:
-    q = F.col("__q")
+def base_failed(q: Column) -> Column:
     return (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
 
 
@@ -118,13 +121,14 @@ def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
     )
 
 
-def thresholds(counted: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float, grid=None) -> DataFrame:
+def thresholds(counted: DataFrame, labels: DataFrame, risk: float, delta: float, grid=None) -> DataFrame:
     """One row per stratum and rule for which a cutoff is eligible: stratum, rule, cutoff,
-    n_good, false_rejected, n_bad, rejected, p_value. ``counted`` has ``__q``."""
+    n_good, false_rejected, n_bad, rejected, p_value. ``counted`` has doc_id, stratum, digest and q."""
     grid = grid or GRID
-    truth = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.max("quality") > 0).alias("good"))
-    rows = counted.filter(~base_failed()).select(F.col("doc_id").cast("long").alias("__id"), F.col(stratum).cast("string").alias("stratum"), *(c.alias(k) for k, c in features().items()))
-    held = rows.join(truth, "__id")
+    truth = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("quality") > 0).alias("good"))
+    q = F.col("q")
+    rows = counted.filter(~base_failed(q)).select(F.col("doc_id").alias("id"), "stratum", "digest", *(c.alias(k) for k, c in features(q).items()))
+    held = rows.join(truth, "id").groupBy("stratum", "digest").agg(F.max("good").alias("good"), *(F.first(k).alias(k) for k in grid))
     tried = [
         F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.coalesce(F.col(rule) > c, F.lit(False)).alias("hit"))
         for rule, cutoffs in grid.items()
@@ -148,53 +152,51 @@ def thresholds(counted: DataFrame, labels: DataFrame, stratum: str, risk: float,
     return passed.groupBy("stratum", "rule").agg(F.min_by(kept, "cutoff").alias("x")).select("stratum", "rule", "x.*")
 
 
-def judge(counted: DataFrame, chosen: DataFrame, stratum: str, grid=None) -> DataFrame:
-    """``counted`` with boolean ``__ok``: false when a chosen cutoff is exceeded."""
+def judge(counted: DataFrame, chosen: DataFrame, stratum: Column, q: str, ok: str, grid=None) -> DataFrame:
+    """``counted`` with a boolean ``ok``: false when a chosen cutoff is exceeded. ``q`` names the counts."""
     grid = grid or GRID
     chosen = materialise(chosen, "quality-cutoffs")
-    feats = features()
-    few = chosen.select("stratum", "rule", "cutoff").limit(MAX_INLINE * len(grid) + 1).collect()
-    key = F.col(stratum).cast("string")
-    if len(few) <= MAX_INLINE * len(grid):
-        bad = F.lit(False)
-        for rule in grid:
-            own = [r for r in few if r["rule"] == rule]
-            if own:
-                cut = reduce(lambda w, r: w.when(key.eqNullSafe(F.lit(r["stratum"])), F.lit(r["cutoff"])), own, F)
-                bad = bad | F.coalesce(feats[rule] > cut, F.lit(False))
-        return counted.withColumn("__ok", ~bad)
-    wide = chosen.groupBy(F.col("stratum").alias("__stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut"))
-    joined = counted.join(wide, key.eqNullSafe(F.col("__stratum")), "left")
-    bad = reduce(lambda a, b: a | b, (F.coalesce(feats[r] > F.col("__cut")[r], F.lit(False)) for r in grid))
-    return joined.withColumn("__ok", ~bad).drop("__stratum", "__cut")
-
-
-def _with_stratum(docs: DataFrame, stratum: str) -> DataFrame:
-    return docs if stratum in docs.columns else docs.withColumn(stratum, F.lit(None).cast("string"))
+    key, salt, cut = (free_name(x, [*counted.columns, ok]) for x in ("key", "salt", "cut"))
+    # equal where both are null too, and an equi-join
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    wide = chosen.groupBy(named(F.col("stratum")).alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias(cut))
+    wide = wide.withColumn(salt, F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+    rows = counted.withColumn(key, named(stratum)).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    bad = reduce(lambda a, b: a | b, (F.coalesce(c > F.col(cut)[r], F.lit(False)) for r, c in features(F.col(q)).items() if r in grid))
+    return rows.join(wide, [key, salt], "left").withColumn(ok, ~bad).drop(key, salt, cut)
+
+
+def _stratum(docs: DataFrame, name: str) -> Column:
+    return F.col(f"`{name}`").cast("string") if name in docs.columns else F.lit(None).cast("string")
+
+
+def _held_out(counted: DataFrame, stratum: Column, q: str) -> DataFrame:
+    return counted.select(F.col("doc_id").cast("long").alias("doc_id"), stratum.alias("stratum"), F.sha2(text_of(), 256).alias("digest"), F.col(q).alias("q"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> tuple[DataFrame, DataFrame]:
-    """The counts of every row (doc_id, stratum, struct ``__q``), and the cutoffs chosen.
+    """The counts of every row (doc_id, stratum, digest, struct ``q``), and the cutoffs chosen.
 
     Texts are read once and never shuffled: the counts are written out, and only they meet
     the labels."""
-    counted = with_counts(_with_stratum(docs, stratum)).select("doc_id", stratum, "__q")
-    counted = materialise(counted, "quality-counts")
-    return counted, thresholds(counted, labels, stratum, risk, delta)
+    counted = materialise(_held_out(with_counts(docs.select("doc_id", "text", _stratum(docs, stratum).alias("stratum"))), F.col("stratum"), "q"), "quality-counts")
+    return counted, thresholds(counted, labels, risk, delta)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that pass the base and the learned rules."""
-    _, chosen = quality_rules(docs, labels, stratum, **options)
-    judged = judge(with_counts(_with_stratum(docs, stratum)), chosen, stratum)
-    return judged.filter(~base_failed() & F.col("__ok")).select(docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that pass the base and the learned rules. Texts are counted once: those
+    that pass the base are written with their counts, which then serve for both."""
+    q, ok = free_name("q", docs.columns), free_name("ok", docs.columns)
+    passed = materialise(with_counts(docs, q).filter(~base_failed(F.col(q))), "quality-passed")
+    chosen = thresholds(_held_out(passed, _stratum(docs, stratum), q), labels, risk, delta)
+    return judge(passed, chosen, _stratum(docs, stratum), q, ok).filter(F.col(ok)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted, chosen = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = ~base_failed() & F.col("__ok")
-    return judge(counted, chosen, "lang").select(
-        "doc_id", *(F.col(f"__q.{c}").alias(c) for c in COUNTS), base_failed().alias("base_failed"), kept.alias("kept")
+    failed = base_failed(F.col("q"))
+    return judge(counted, chosen, F.col("stratum"), "q", "ok").select(
+        "doc_id", *(F.col(f"q.{c}").alias(c) for c in COUNTS), failed.alias("base_failed"), (~failed & F.col("ok")).alias("kept")
     )
 
 
@@ -212,7 +214,7 @@ windows AS (SELECT r, i, [w[i + 1], w[i + 2], w[i + 3]] AS g FROM (SELECT r, w,
 repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY r),
 c AS (
-  SELECT d.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(len(lines) AS BIGINT) AS n_lines,
+  SELECT d.r, doc_id, stratum, t, CAST(len(w) AS BIGINT) AS n_words, CAST(len(lines) AS BIGINT) AS n_lines,
          CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
@@ -223,12 +225,15 @@ f AS (
          word_chars / nullif(n_words, 0) AS long_words
   FROM c),
 truth AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (
+  SELECT stratum, t, max(good) AS good, any_value(symbol_ratio) AS symbol_ratio, any_value(dup_line_ratio) AS dup_line_ratio,
+         any_value(repeat_ratio) AS repeat_ratio, any_value(long_words) AS long_words
+  FROM f JOIN truth ON truth.doc_id = f.doc_id WHERE NOT base_failed GROUP BY stratum, t),
 grid(rule, cutoff) AS (VALUES {tried}),
 tests AS (
   SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND hit) AS k,
          count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (NOT good AND hit) AS rejected
-  FROM (SELECT stratum, good, rule, cutoff, coalesce({value} > cutoff, false) AS hit
-        FROM f JOIN truth ON truth.doc_id = f.doc_id, grid WHERE NOT base_failed)
+  FROM (SELECT stratum, good, rule, cutoff, coalesce({value} > cutoff, false) AS hit FROM held, grid)
   GROUP BY stratum, rule, cutoff),
 terms AS (SELECT *, unnest(range(k + 1)) AS j FROM tests),
 chosen AS (
