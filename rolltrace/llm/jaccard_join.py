@@ -22,12 +22,16 @@ A text's set holds its distinct 4-word shingles as 64-bit hashes. Sets link when
    subtree is left when its overlap plus the remaining length can't reach the bound.
 6. Components by alternating large-star and small-star steps on tables in the shared folder.
 
+Words are hashed by keyed BLAKE2, so no texts are known whose words hash alike; a shingle's 64 bits are mixed from
+those of its words, so a pair of sets meets a false shingle in common with a chance of about n * n / 2^64.
+
+Rows are told apart by class, never by doc_id: rows that share an id, or have none, are documents of their own.
+
 Defined cases: a text of fewer than 4 words has its whole word sequence as its one
 shingle; null, empty or blank text has the empty set, is linked with nothing and is its own
-component; a null id can't be named as a component: its rows are dropped from the
-groups and come back with component null; rows repeated with one id count as one text if
-their sets are equal, else each of their sets belongs to that id; an empty table gives an
-empty table; other columns are ignored by the query and kept by :func:`drop_near_copies`.
+component; a null id can't name a component, so a row with one takes the smallest id that it
+reaches, or null; rows repeated with one id are linked if their sets are equal or link, like any other rows; an empty table gives an
+empty table; other columns, whatever their names, are ignored by the query and kept by :func:`drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -35,14 +39,15 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, row_slices, text_of
+from .common import by_hot_and_cold, documents, keyed, materialise, row_slices, text_of
 
 WORDS, LOW, HIGH = 4, 85, 100
 #: Shingles with an order of their own, counted in blocks of so many shingles from so many sets on.
@@ -56,26 +61,23 @@ BAND = 1.2
 
 _U = np.uint64
 _BASE, _K1, _K2 = _U(0x9E3779B97F4A7C55), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Words whose hashes a worker remembers, and the longest it remembers.
+KEPT, KEPT_LENGTH = 1_000_000, 40
 
 
-@lru_cache(maxsize=1)
-def _inverse() -> np.uint64:
-    return _U(pow(int(_BASE), -1, 1 << 64))
+class _Hashes(dict):
+    """64 bits of a keyed BLAKE2 digest by word."""
 
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = value
+        return value
 
-_powers: dict[str, np.ndarray] = {}
 
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 20, n)
-        for name, base in (("up", _BASE), ("down", _inverse())):
-            x = np.full(size, base, _U)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
+_hashes = _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,15 +88,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    raw = np.frombuffer(text.encode().lower(), np.uint8)
-    blank = np.concatenate(([True], _BLANK[raw], [True]))
-    edge = np.flatnonzero(blank[1:] != blank[:-1])
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
+    # bytes are lower-cased and split as ASCII: A-Z, and the white space of the contract
+    words = text.encode().lower().split()
+    if not words:
         return np.empty(0, _U)
-    up, down = _power(len(raw))
-    total = np.concatenate((np.zeros(1, _U), np.cumsum((raw.astype(_U) + _U(1)) * up, dtype=_U)))
-    word = _mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _K2)
+    word = np.fromiter(map(_hashes.__getitem__, words), _U, len(words))
     n = min(WORDS, len(word))
     size = len(word) - n + 1
     out = word[:size]
@@ -151,21 +149,22 @@ class Order:
         return values[np.argsort(-self.count(values), kind="stable")]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+def _texts(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """doc_id, mark (a hash of the text), text, and rid, the row's number where ``rid`` names one."""
+    own = F.lit(None).cast("long") if rid is None else F.col(rid).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), own.alias("rid"))
+    return rows.select("doc_id", F.xxhash64("text").alias("mark"), "text", "rid")
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
-    """A row per text (doc_id, n, d1, d2, bits as longs), and a row per locally frequent shingle (hash, n)."""
+def _profiles(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """A row per text (doc_id, mark, rid, n, d1, d2, bits as longs), and a row per locally frequent shingle (hash, n)."""
 
     def frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
         keep = counts >= LOCAL
         return values[keep], counts[keep]
 
-    def batch_of(ids, n, d1, d2, bits, hashes) -> pa.RecordBatch:
-        cols = [pa.array(x, pa.list_(pa.int64()) if x is bits else pa.int64()) for x in (ids, n, d1, d2, bits, hashes)]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "bits", "hash"])
+    names = ["doc_id", "mark", "rid", "n", "d1", "d2", "bits", "hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
@@ -174,28 +173,30 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             values, counts = frequent(sets)
-            none = [None] * len(values)
-            return batch_of(none, counts, none, none, list(none), values.view(np.int64))
+            none = pa.nulls(len(values), pa.int64())
+            bits = pa.nulls(len(values), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(counts, pa.int64()), none, none, bits, pa.array(values.view(np.int64))], names)
 
         for batch in row_slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 values = shingle_set(text)
                 key = _digest(values)
-                rows.append((doc_id, len(values), *key, np.frombuffer(signature(values, SHORT), np.int64)))
+                rows.append((len(values), *key, np.frombuffer(signature(values, SHORT), np.int64)))
                 if len(values) and key not in seen:
                     seen.add(key)
                     sets.append(values)
                     held += len(values)
-            if rows:
-                yield batch_of(*zip(*rows), [None] * len(rows))
+            n, d1, d2, bits = zip(*rows)
+            cols = [batch.column(c) for c in ("doc_id", "mark", "rid")] + [pa.array(x, pa.int64()) for x in (n, d1, d2)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(rows), pa.int64())], names)
             if held >= BLOCK:
                 yield counted()
                 sets, seen, held = [], set(), 0
         if sets:
             yield counted()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits array<long>, hash long")
+    return _texts(docs, rid).mapInArrow(run, "doc_id long, mark long, rid long, n long, d1 long, d2 long, bits array<long>, hash long")
 
 
 def _order(profiles: DataFrame) -> Order:
@@ -275,8 +276,9 @@ def _centre_pairs(blocks: DataFrame) -> DataFrame:
     """(a, b): every member of a group with the group's centre, the member with the fewest rarer
     shingles: of the near copies of one text, that text."""
     centre = F.min_by(F.struct("node", "n", "pos"), F.struct("pos", "node")).alias("c")
-    centres = blocks.groupBy("token").agg(centre).select("token", "c.*")
-    pairs = blocks.alias("x").join(centres.alias("c"), "token").filter((F.col("x.node") != F.col("c.node")) & _possible("x", "c"))
+    centres = blocks.groupBy("token").agg(centre, F.count(F.lit(1)).alias("size"))
+    pairs = by_hot_and_cold(blocks.select("token", F.struct("node", "n", "pos").alias("x")), centres, ["token"], "size", blocks.count())
+    pairs = pairs.filter((F.col("x.node") != F.col("c.node")) & _possible("x", "c"))
     return pairs.select(F.col("c.node").alias("a"), F.col("x.node").alias("b")).distinct()
 
 
@@ -297,16 +299,22 @@ def _open_pairs(blocks: DataFrame, components: DataFrame, bits: DataFrame) -> Da
     component. Only those probe the group, so near copies cost nothing among each other. Groups
     are parted by length: sets that link are in the same or neighbouring bands."""
     placed = materialise(blocks.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-placed")
-    split = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    by_comp = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("own"))
+    groups = by_comp.groupBy("token").agg(F.sum("own").alias("size"), F.max_by("comp", F.struct("own", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"))
+    split = materialise(groups.filter("comps > 1").drop("comps"), "jaccard-groups")
     band = F.floor(F.log(F.col("n")) / math.log(BAND)).cast("int")
-    rows = placed.join(split, "token", "left_semi").join(bits, ["node", "n"]).select("token", "node", "n", "pos", "comp", "bits", band.alias("band"))
+    rows = by_hot_and_cold(placed, split, ["token"], "size", placed.count()).join(bits, ["node", "n"])
+    # a group of more than DEALT sets is held against its probes in several tasks
+    parts = (F.col("size") / DEALT).cast("long") + 1
+    rows = rows.select("token", "node", "n", "pos", "comp", "largest", "bits", band.alias("band"), parts.alias("parts"))
     rows = materialise(rows, "jaccard-split")
-    largest = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"))
-    probes = rows.join(largest, "token").filter("comp <> largest").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    probes = rows.filter("comp <> largest").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    held = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     once = (F.col("y.comp") == F.col("x.largest")) | (F.col("x.node") < F.col("y.node"))
     fits = (F.col("x.comp") != F.col("y.comp")) & once & _possible("x", "y") & _signatures_allow("x", "y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
-    pairs = probes.alias("x").join(rows.alias("y"), on & fits)
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part"))
+    pairs = probes.alias("x").join(held.alias("y"), on & fits)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -339,39 +347,57 @@ def walk(text: np.ndarray, others: list[np.ndarray]) -> list[int]:
 
 
 def _within_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose long signatures allow a link."""
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+    """The pairs whose long signatures allow a link; ``part`` and ``node`` tell a set."""
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("part").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches):
+        for batch in batches:
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(na), -1) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array(_may_link(na, nb, sa, sb)))
+            yield batch.select(["a", "b", "pa", "pb"]).filter(pa.array(_may_link(na, nb, sa, sb)))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    wanted = pairs.join(of("a"), ["a", "pa"]).join(of("b"), ["b", "pb"]).select("a", "b", "pa", "pb", "na", "nb", "sa", "sb")
+    return wanted.mapInArrow(run, "a long, b long, pa int, pb int")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
-    """Those of the (a, b) pairs that link."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame, order) -> DataFrame:
+    """node, part, n, bits, blob: the sets of ``nodes`` (node, d1, d2, rep), each from the text that represents it.
+
+    A text that several rows have under one id comes from every task that holds one; ``part``, the
+    task, tells these apart."""
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = order.value
+        own, part, seen = order.value, TaskContext.get().partitionId(), set()
         for batch in row_slices(batches):
-            sets = [own.frequent_first(shingle_set(t)) for t in batch.column("text").to_pylist()]
-            cols = [pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], ["node", "n", "bits", "blob"])
-
-    texts = _texts(docs).join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    full = materialise(texts.mapInArrow(ordered, "node long, n long, bits binary, blob binary"), "jaccard-sets")
-    pairs = materialise(_within_bounds(pairs, full), "jaccard-within")
-    sets = full.select("node", "blob")
+            rows = []
+            for node, d1, d2, text in zip(*(batch.column(c).to_pylist() for c in ("node", "d1", "d2", "text"))):
+                if node not in seen and _digest(values := shingle_set(text)) == (d1, d2):
+                    seen.add(node)
+                    rows.append((node, part, len(values), signature(values), own.frequent_first(values).tobytes()))
+            if rows:
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["node", "part", "n", "bits", "blob"])
+
+    wanted = nodes.select("node", "d1", "d2", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("mark") == F.col("rep_mark"))
+    texts = _texts(docs).join(wanted, same).select("node", "d1", "d2", "text")
+    return materialise(texts.mapInArrow(ordered, "node long, part int, n long, bits binary, blob binary"), "jaccard-sets")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order) -> DataFrame:
+    """Those of the (a, b) pairs that link."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    full = _sets(classes.join(nodes, "node"), docs, order)
+    one = full.groupBy("node").agg(F.min("part").alias("part"))
+    of = lambda x: one.select(F.col("node").alias(x), F.col("part").alias(f"p{x}"))
+    pairs = materialise(_within_bounds(pairs.join(of("a"), "a").join(of("b"), "b"), full), "jaccard-within")
+    sets = lambda x: full.select(F.col("node").alias(x), F.col("part").alias(f"p{x}"), "blob")
     spread = F.pmod(F.xxhash64("b"), F.lit(16))  # a centre of thousands of pairs is walked by several tasks
     wanted = pairs.withColumn("salt", spread)
-    centres = wanted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a")
-    rows = wanted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "blob")
+    centres = wanted.select("a", "pa", "salt").distinct().join(sets("a"), ["a", "pa"]).select("a", "salt", "blob")
+    rows = wanted.join(sets("b"), ["b", "pb"]).select("a", "salt", "b", "blob")
     rows = rows.unionByName(centres.withColumn("b", F.lit(None).cast("long"))).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,64 +454,69 @@ def connected(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs``, which needs doc_id and text."""
+def jaccard_groups(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, rid, kept per row of ``docs``, which needs doc_id and text. ``rid`` names
+    a column that numbers the rows, if there is one; then ``kept`` tells one row of each component."""
     spark = docs.sparkSession
-    profiles = materialise(_profiles(docs), "jaccard-profiles")
+    profiles = materialise(_profiles(docs, rid), "jaccard-profiles")
     order = spark.sparkContext.broadcast(_order(profiles))
-    rows = profiles.filter("hash IS NULL").select("doc_id", "n", "d1", "d2", "bits")
-    by_class = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    signed = materialise(by_class, "jaccard-classes")
-    classes = signed.select("d1", "d2", "node")
-    named = docs.filter(F.col("doc_id").isNotNull())
-    shared = materialise(_shared(_prefixes(named, order)), "jaccard-shared")
-    blocks = materialise(shared.join(classes, ["d1", "d2"]).select("token", "node", "n", "pos"), "jaccard-blocks")
-    reps = named.join(classes.select(F.col("node").alias("__node")).distinct(), F.col("doc_id").cast("long") == F.col("__node"), "left_semi")
+    rows = profiles.filter("hash IS NULL").select("doc_id", "mark", "rid", "n", "d1", "d2", "bits")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "rid")
+    by_class = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min(first).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("size"))
+    classes = materialise(by_class.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+    names = classes.select("d1", "d2", "node")
+    shared = materialise(_shared(_prefixes(docs, order)), "jaccard-shared")
+    blocks = materialise(shared.join(names, ["d1", "d2"]).select("token", "node", "n", "pos"), "jaccard-blocks")
     pairs = materialise(_centre_pairs(blocks), "jaccard-pairs")
-    links = materialise(_verified(pairs, reps, order), "jaccard-links")
-    again = _open_pairs(blocks, connected(links), signed.select("node", "n", "bits")).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = materialise(_verified(pairs, classes, docs, order), "jaccard-links")
+    again = _open_pairs(blocks, connected(links), classes.select("node", "n", "bits")).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     again = materialise(again, "jaccard-open")
     if again.limit(1).count():
-        links = links.union(_verified(again, reps, order))
-    found = connected(links)
-    placed = rows.join(classes, ["d1", "d2"], "left").join(found, "node", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+        links = links.union(_verified(again, classes, docs, order))
+    own = classes.select("d1", "d2", "node", "rep", "size").join(connected(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lowest = own.groupBy("comp").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("classes"))
+    named = by_hot_and_cold(own, lowest, ["comp"], "classes", classes.count()).select("d1", "d2", "size", "low")
+    some = rows.filter("n > 0").select("doc_id", "rid", "n", "d1", "d2")
+    placed = by_hot_and_cold(some, materialise(named, "jaccard-named"), ["d1", "d2"], "size", some.count())
+    out = placed.select("doc_id", F.col("n").alias("n_shingles"), F.col("low.doc_id").alias("component_id"), "rid", (F.col("rid") == F.col("low.rid")).alias("kept"))
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rid", F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text of smallest id of each group only; all its columns."""
-    groups = jaccard_groups(docs).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(groups, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """``docs`` with one row of each component, the one of smallest id, and all rows without words; all its columns."""
+    rows, rid = keyed(docs, "jaccard-docs")
+    stays = jaccard_groups(rows, rid).filter("kept").select(F.col("rid").alias(rid))
+    return rows.join(stays, rid, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(documents(spark, sf_dir))
+    return jaccard_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE_SQL = rf"""
 WITH RECURSIVE d AS (
-  SELECT DISTINCT doc_id, w FROM (
-    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
-    FROM documents)),
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
 grams AS (
-  SELECT DISTINCT doc_id, hash(g) AS h, g FROM (
-    SELECT doc_id, list_slice(w, i + 1, i + {WORDS}) AS g
-    FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - {WORDS - 1}, 1) END)) AS i FROM d))),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-numbered AS (SELECT doc_id, dense_rank() OVER (ORDER BY h, g) AS s FROM grams),
+  SELECT DISTINCT r, hash(g) AS h, g FROM (
+    SELECT r, list_slice(w, i + 1, i + {WORDS}) AS g
+    FROM (SELECT r, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - {WORDS - 1}, 1) END)) AS i FROM d))),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+numbered AS (SELECT r, dense_rank() OVER (ORDER BY h, g) AS s FROM grams),
 shared AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
-  FROM numbered x JOIN numbered y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+  SELECT x.r AS a, y.r AS b, count(*) AS n
+  FROM numbered x JOIN numbered y ON x.s = y.s AND x.r < y.r GROUP BY ALL),
 links AS (
-  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  SELECT a, b FROM shared JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b
   WHERE {HIGH} * shared.n >= {LOW} * (p.n + q.n - shared.n)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT a, b FROM edges
   UNION
   SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
-lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
-SELECT documents.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, CAST(least(documents.doc_id, low) AS BIGINT) AS component_id
-FROM documents LEFT JOIN sizes ON sizes.doc_id = documents.doc_id LEFT JOIN lowest ON lowest.a = documents.doc_id"""
+lowest AS (SELECT a, min(doc_id) AS low FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, low) AS BIGINT) AS component_id
+FROM d LEFT JOIN sizes ON sizes.r = d.r LEFT JOIN lowest ON lowest.a = d.r"""
