@@ -81,8 +81,8 @@ def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, int]]:
         if rng.random() < 0.6:
             words.insert(rng.randint(1, len(words)), str(rng.choice((rng.randint(0, 9), rng.randint(10, 999), rng.randint(1990, 2030)))))
         style = k % 6
-        if k % 24 == 7:  # a ruled line, whole or with corners
-            mark = rng.choice("-=_+/")
+        if k % 12 == 7:  # a ruled line, whole or with corners, or one character said on and on
+            mark = rng.choice("-=_+/") if k % 24 == 7 else rng.choice(_ALPHABET)
             out.append((rng.choice("+-/=_").join([mark * rng.randint(4, 30)] * rng.randint(1, 5)), 0))
             continue
         if k % 24 == 19:  # an option, or a path from the root
