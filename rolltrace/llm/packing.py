@@ -22,6 +22,7 @@ room go to the newest; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,19 +49,22 @@ _PACKED = _PIECES + ", sequence_id long, offset long, done boolean"
 _PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f"
 _BETWEEN = re.compile(f"(?<=[{_PLAIN}]) (?=[{_PLAIN}])")
 _EDGES = re.compile(f"[{_PLAIN}](?:.*[{_PLAIN}])?", re.S).fullmatch
-#: Stretches that a worker remembers, and the longest it remembers.
-KEPT, KEPT_LENGTH = 600_000, 40
+#: Stretches that a worker remembers in either of two generations, and the longest it remembers.
+KEPT, KEPT_LENGTH = 400_000, 40
 
 
 class Ids:
     """Ids by the tokenizers file."""
 
     def __init__(self, json_path: str):
+        # batches are small, and tasks share the cores already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(json_path)
-        #: ids of what follows a blank, the blank's own included
+        #: ids of what follows a blank, the blank's own included; what is not met for long goes with the older half
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -72,17 +76,18 @@ class Ids:
         """The ids of every text."""
         cut = [t.split(" ") for t in texts]
         odd = [len(c) > 1 and not _EDGES(c[0]) for c in cut]
-        new = {x for parts in cut for x in parts[1:]}.difference(self.known)
-        bad = {x for x in new if not _EDGES(x)}
+        if len(self.known) > KEPT:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = {x for parts in cut for x in parts[1:]}.difference(known)
+        bad = {x for x in new if x not in older and not _EDGES(x)}
         if bad or any(odd):  # some blank of these texts does not begin a word
             for k, parts in enumerate(cut):
                 if odd[k] or not bad.isdisjoint(parts[1:]):
                     cut[k] = _BETWEEN.split(texts[k])
-            new = {x for parts in cut for x in parts[1:]}.difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = {x for parts in cut for x in parts[1:]}
-        new, known = list(new), self.known
+            new = {x for parts in cut for x in parts[1:]}.difference(known)
+        known.update((x, older[x]) for x in new if x in older)
+        new = [x for x in new if x not in older]
         known.update(zip(new, self._ids([f" {x}" for x in new])))
         firsts = self._ids([c[0] for c in cut])
         out = [np.frombuffer(b"".join([first, *map(known.__getitem__, parts[1:])]), "<u4") for first, parts in zip(firsts, cut)]

@@ -764,6 +764,7 @@ def test_stretches_have_the_ids_of_whole_texts():
     rng, signs = random.Random(3), "a b'sZ1 9\u00e9 \u00a0\t\n.,<|endoftext|>\u00df\u6f22\u5b57\u0085\u2003\u1680\u180e\u200b\U0001f600'll -\u03a9\u0436\u0301\u02b0\u00aa\u00b2x"
     texts = [f.format(chr(c)) for c in [*range(0x20, 0x600), *range(0x1680, 0x1700), *range(0x2000, 0x2100)] for f in ("a {0} b", "{0} {0}", "\u00e9 {0}a", "{0} \u0436")]
     texts += ["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(5000)]
+    texts += ["a <|endoftext|> b", "a<|endoftext|>b <|endoftext|>", "don't. \nstop \n it's<|endof text|>"]
     for some in (texts[k : k + 300] for k in range(0, len(texts), 300)):
         for t, ids in zip(some, own.encode(some)):
             assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
