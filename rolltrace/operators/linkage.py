@@ -13,8 +13,8 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.storage import settled
 from ..functions.text import similarity
 
 #: Similarity from which strings agree, and agree partially; difference up to which numbers agree.
@@ -23,6 +23,8 @@ CUT, CUT_PARTIAL, CUT_NUMBER = 0.92, 0.88, 0.0
 THRESHOLD = 0.85
 #: Without blocking, so many pairs are compared at most.
 MAX_PAIRS = 50_000_000
+#: Fields that a pattern table may have: 4^k rows reach the driver.
+MAX_FIELDS = 9
 
 
 @dataclass
@@ -39,9 +41,9 @@ class Fit:
 def roles(varnames: list[str], varnames_str: list[str], partial: list[str] | None = None, varnames_num: list[str] | None = None):
     """Checked (strings, partially matched ones, numbers)."""
     if not set(varnames_str) <= set(varnames):
-        raise ValueError("String variables list is not a subset of the variable list.")
+        raise ValueError(f"varnames_str has names that varnames lacks: {sorted(set(varnames_str) - set(varnames))}")
     if partial is not None and not set(partial) <= set(varnames_str):
-        raise ValueError("Partial match list is not a subset of the string variables list.")
+        raise ValueError(f"partial has names that are no string variables: {sorted(set(partial) - set(varnames_str))}")
     numbers = [v for v in varnames if v not in varnames_str] if varnames_num is None else list(varnames_num)
     return list(varnames_str), list(varnames_str if partial is None else partial), numbers
 
@@ -121,6 +123,8 @@ def posterior(table: np.ndarray, share: float, match: list[np.ndarray], other: l
 def fit_patterns(pattern_counts: DataFrame, fields: list[str], share: float | None = None) -> tuple[DataFrame, Fit]:
     """Posterior of each pattern; the pattern table is bounded by 4^k rows."""
     spark = pattern_counts.sparkSession
+    if len(fields) > MAX_FIELDS:
+        raise ValueError(f"{len(fields)} fields make up to 4^{len(fields)} patterns; {MAX_FIELDS} fields are the most")
     rows = pattern_counts.orderBy(*(f"g_{v}" for v in fields)).collect()
     schema = ", ".join(f"g_{v} int" for v in fields) + ", posterior double"
     if not rows:
@@ -133,9 +137,12 @@ def fit_patterns(pattern_counts: DataFrame, fields: list[str], share: float | No
 
 
 def one_to_one(links: DataFrame, key_a: str = "_rid_a", key_b: str = "_rid_b") -> DataFrame:
-    """Best posterior per A, then per B; exact ties stay."""
-    best = lambda df, key: df.withColumn("_r", F.rank().over(Window.partitionBy(key).orderBy(F.desc("posterior")))).filter("_r = 1").drop("_r")
-    return best(best(links, key_a), key_b)
+    """Best posterior per A, ties by the smallest row of B, so a row of A is in one pair; then per B, where ties
+    stay: several rows of A may claim one row of B until they are repaired."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in links.columns))
+    per_a = links.groupBy(F.col(key_a).alias("_key")).agg(F.min_by(whole, F.struct(-F.col("posterior"), F.col(key_b))).alias("_row")).select("_row.*")
+    best = per_a.groupBy(F.col(key_b).alias("_key")).agg(F.max("posterior").alias("_best"))
+    return per_a.join(best, (F.col(key_b) == F.col("_key")) & (F.col("posterior") == F.col("_best"))).select(*(f"`{c}`" for c in links.columns))
 
 
 def link(
@@ -146,7 +153,7 @@ def link(
     strings, partial, numbers = roles(varnames, varnames_str, partial, varnames_num)
     fields = strings + numbers
     levels = gammas(candidates(a, b, block), strings, partial, numbers, **cuts)
-    levels = levels.checkpoint() if a.sparkSession.sparkContext.getCheckpointDir() else levels.persist()
+    levels = settled(levels, "link-levels")
     scored, fit = fit_patterns(patterns(levels, fields), fields, share)
     on = reduce(lambda p, q: p & q, (F.col(f"l.g_{v}").eqNullSafe(F.col(f"s.g_{v}")) for v in fields))
     links = levels.alias("l").join(F.broadcast(scored.alias("s")), on).filter(F.col("posterior") >= threshold)

@@ -6,8 +6,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.nullsafe import anti, same_types, semi, zipped
+from ..functions.nullsafe import anti, free_names, same_types
+from ..functions.storage import settled
 
 
 class ConservationError(AssertionError):
@@ -56,7 +58,8 @@ class Match:
 
 def _copies(df: DataFrame, n: Column, columns: list[str]) -> DataFrame:
     """Rows repeated ``n`` times; once is by far the most frequent."""
-    return df.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(columns)
+    (copy,) = free_names(df.columns, "copy")
+    return df.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), n))).select([f"`{c}`" for c in columns])
 
 
 def exact_match(a: DataFrame, b: DataFrame, exact_exclude: bool = True) -> Interim:
@@ -73,9 +76,10 @@ def exact_match(a: DataFrame, b: DataFrame, exact_exclude: bool = True) -> Inter
         both = a.select(columns).intersect(b.select(columns))
         exact = a.alias("l").join(b.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]).select("l.*", *(f"r.{c}" for c in b.columns if c not in columns))
         return Interim(exact, anti(a, both, columns), anti(b, both, columns))
-    sides = a.withColumn("_a", F.lit(1)).unionByName(b.withColumn("_a", F.lit(0)))
-    groups = sides.groupBy(*(f"`{c}`" for c in columns)).agg(F.sum("_a").alias("_ka"), F.sum(1 - F.col("_a")).alias("_kb"))
-    ka, kb = F.col("_ka"), F.col("_kb")
+    side, in_a, in_b = free_names(a.columns, "side", "in_a", "in_b")
+    sides = a.withColumn(side, F.lit(1)).unionByName(b.withColumn(side, F.lit(0)))
+    groups = sides.groupBy(*(f"`{c}`" for c in columns)).agg(F.sum(side).alias(in_a), F.sum(1 - F.col(side)).alias(in_b))
+    ka, kb = F.col(in_a), F.col(in_b)
     return Interim(
         _copies(groups.filter((ka > 0) & (kb > 0)), ka * kb, columns), _copies(groups.filter(kb == 0), ka, columns), _copies(groups.filter(ka == 0), kb, columns)
     )
@@ -85,23 +89,48 @@ def id_match(inter: Interim, ids: list[str] | None = ("lVoterUniqueID", "sAffNum
     """Take out rows whose id is on both sides, one id after the other, and pair them.
 
     Equal ids pair in the order of their other columns. Where one side has more rows of an
-    id, the surplus raises, or stays among the mismatches with ``on_unbalanced="demote"``."""
+    id, the surplus raises, or stays among the mismatches with ``on_unbalanced="demote"``.
+
+    For each id both sides are tagged, shuffled once by the id, numbered within it and met by number; the outcome
+    is written, so the inputs are read once per id. All rows with a null id meet in one task; ``null_ids_match=False``
+    leaves them unmatched where they are."""
+    if on_unbalanced not in ("error", "demote"):
+        raise ValueError("on_unbalanced is 'error' or 'demote'")
     a, b, pairs = inter.mismatch_a, inter.mismatch_b, inter.id_pairs
     for name in ids or ():
-        known = (lambda df: df) if null_ids_match else (lambda df: df.filter(F.col(name).isNotNull()))  # noqa: B023
         same_types(a, b, [name])
-        both = known(a.select(name).intersect(b.select(name)))
-        in_a, in_b = semi(a, both, [name]), semi(b, both, [name])
-        found = zipped(in_a, in_b, name)
-        rest_a, rest_b = anti(a, both, [name]), anti(b, both, [name])
-        if on_unbalanced == "demote":
-            rest_a = rest_a.unionByName(in_a.exceptAll(found.select("a.*")))
-            rest_b = rest_b.unionByName(in_b.exceptAll(found.select("b.*")))
+        met = settled(_met(a, b, name, null_ids_match), "id-match")
+        if on_unbalanced == "error" and met.filter("kind = 'surplus'").limit(1).count():
+            raise ConservationError(f"an id of {name} has more rows on one side than on the other")
+        found, rest = met.filter("kind = 'pair'").select("a", "b"), met.filter("kind <> 'pair'")
         pairs = found if pairs is None else pairs.unionByName(found)
-        a, b = rest_a, rest_b
+        a, b = (rest.filter(f"{s} IS NOT NULL").select(f"{s}.*") for s in "ab")
     return Interim(inter.exact, a, b, pairs, list(ids or ()))
 
 
+def _met(a: DataFrame, b: DataFrame, name: str, null_ids_match: bool) -> DataFrame:
+    """kind, a, b: every row of both sides once, as a ``pair``, as a ``surplus`` of an id that both sides have, or
+    ``alone``."""
+    order = [c for c in a.columns if c != name and c in b.columns] or [name]
+
+    def tagged(df: DataFrame, side: str) -> DataFrame:
+        whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        other = F.lit(None).cast((b if side == "a" else a).schema)
+        return df.select(
+            F.col(f"`{name}`").alias("k"), F.lit(side).alias("side"), *(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)),
+            (whole if side == "a" else other).alias("a"), (whole if side == "b" else other).alias("b"),
+        )
+
+    sides = tagged(a, "a").unionByName(tagged(b, "b"))
+    known = sides if null_ids_match else sides.filter("k IS NOT NULL")
+    by_side = Window.partitionBy("k", "side").orderBy(*(F.col(f"o{i}").asc_nulls_last() for i in range(len(order))))
+    numbered = known.repartition("k").withColumn("n", F.row_number().over(by_side)).withColumn("sides", F.size(F.collect_set("side").over(Window.partitionBy("k"))))
+    meeting = numbered.groupBy("k", "n").agg(F.max("sides").alias("sides"), F.max_by("a", F.col("side") == "a").alias("a"), F.max_by("b", F.col("side") == "b").alias("b"))
+    kind = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "pair").when(F.col("sides") > 1, "surplus").otherwise("alone")
+    out = meeting.select(kind.alias("kind"), "a", "b")
+    return out if null_ids_match else out.unionByName(sides.filter("k IS NULL").select(F.lit("alone").alias("kind"), "a", "b"))
+
+
 def assert_inter(inter: Interim, a: DataFrame, b: DataFrame) -> dict[str, int]:
     """Row conservation on both sides; the counts."""
     parts = {"a": a, "b": b, "exact": inter.exact, "mismatch_a": inter.mismatch_a, "mismatch_b": inter.mismatch_b, "id_match": inter.id_match_a}
@@ -118,11 +147,25 @@ def assert_inter(inter: Interim, a: DataFrame, b: DataFrame) -> dict[str, int]:
 
 
 def exact_sample(df: DataFrame, key: list[str], seed: int, salt: str, size: int | None = None, fraction: float | None = None) -> DataFrame:
-    """Exactly so many rows, the same ones however the data is partitioned."""
-    if size is None:
-        size = round(df.count() * fraction)
-    text = F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key))
-    return df.orderBy(F.md5(text), *key).limit(size)
+    """Exactly so many rows, the same ones however the data is partitioned: those of least hash.
+
+    The first 16 bits of the hash are counted (65,536 counts at most reach the driver). Rows below the bucket in which the
+    sample ends are taken as they are; only that bucket, a 65,536th of the rows, is sorted."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *(F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in key))
+    mark, bucket = free_names(df.columns, "mark", "bucket")
+    rows = df.withColumn(mark, F.md5(text)).withColumn(bucket, F.conv(F.substring(F.col(mark), 1, 4), 16, 10).cast("int"))
+    counts = sorted((r[0], r["count"]) for r in rows.groupBy(bucket).count().collect())
+    left = round(sum(n for _, n in counts) * fraction) if size is None else size
+    border = None
+    for place, n in counts:
+        if n > left:
+            border = place
+            break
+        left -= n
+    if border is None:
+        return df
+    edge = rows.filter(F.col(bucket) == border).orderBy(mark, *(f"`{k}`" for k in key)).limit(left)
+    return rows.filter(F.col(bucket) < border).unionByName(edge).drop(mark, bucket)
 
 
 def random_sample(

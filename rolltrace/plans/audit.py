@@ -6,7 +6,9 @@ import json
 import logging
 import time
 from dataclasses import fields, replace
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def staged(match: Match, path: str) -> Match:
+    """The buckets written once beside their place, to be checked before they count as saved."""
+    spark = match.exact.sparkSession
+    for k in PARTS:
+        getattr(match, k).write.mode("overwrite").parquet(f"{path}/staged/{k}")
+    return Match(**{k: spark.read.parquet(f"{path}/staged/{k}") for k in PARTS})
+
+
 def save_match(match: Match, path: str, about: dict) -> Match:
     """Each bucket as Parquet, what made it as JSON; the match as read back."""
     spark = match.exact.sparkSession
@@ -95,9 +105,7 @@ def match_pair(
             links, fit = link(in_a, in_b, varnames, varnames_str, partial, varnames_num, block, **link_options)
             match = match_linked(inter, kept(links, "links"))
             about |= {"status": "linked", "share": fit.share, "iterations": fit.iterations, "pairs": fit.pairs}
-        except ValueError:
-            raise
-        except Exception as e:  # linkage may fail on odd data; its rows then stay unmatched
+        except (np.linalg.LinAlgError, FloatingPointError, ZeroDivisionError) as e:  # no estimate from these data; the rows stay unmatched
             log.warning("linkage failed: %s", e)
             about["status"] = f"failed: {type(e).__name__}"
     about["runtime"] = time.time() - began
@@ -105,10 +113,15 @@ def match_pair(
 
 
 def assert_match(match: Match, a: DataFrame) -> dict[str, int]:
-    """Side A only: ties may pair one B row several times until they are repaired."""
+    """Side A only: ties may pair one B row several times until they are repaired. No bucket has a row of nulls."""
     n = match.counts()
-    if n["exact"] + n["id_pairs"] + n["changed"] + n["only_a"] < a.count():
+    if n["exact"] + n["id_pairs"] + n["changed"] + n["only_a"] != a.count():
         raise ConservationError(str(n))
+    whole = {"exact": match.exact, "only_a": match.only_a, "only_b": match.only_b}
+    whole |= {f"{k}.{s}": getattr(match, k).select(f"{s}.*") for k in ("id_pairs", "changed") for s in "ab"}
+    for k, df in whole.items():
+        if df.filter(reduce(lambda p, q: p & q, (F.col(f"`{c}`").isNull() for c in df.columns))).limit(1).count():
+            raise ConservationError(f"{k} has a row of nulls only")
     return n
 
 
@@ -139,8 +152,9 @@ def vrmatch(
             match, about = match_pair(
                 a, b, target, varnames, varnames_str, varnames_num, varnames_id, partial, exact_exclude, sample_exact, sample_id, sample_size, sample_perc, varnames_block, seed, **options
             )
-            match = save_match(match, target, about | {"varnames": varnames, "varnames_id": varnames_id, "seed": seed})
+            match = staged(match, target)
             assert_match(match, a)
+            match = save_match(match, target, about | {"varnames": varnames, "varnames_id": varnames_id, "seed": seed})
         reports.append(_report(match, name, day2, vars_change, nrow, null_changes, path_changes, path_reports))
     return _stack(reports)
 
@@ -181,7 +195,9 @@ def adjust_vrmatch(
         a, b = clean_import(spark, path_clean, clean_prefix, clean_suffix, day1, day2)
         match = load_match(spark, f"{path_matches}/match_{name}")
         match = adjust_dups(adjust_fn(match, fn_ids), dedup_ids, compat)
-        match = save_match(match, f"{path_matches}/{prefix}match_{name}{suffix}", {"fn_ids": list(fn_ids), "dedup_ids": list(dedup_ids)})
+        target = f"{path_matches}/{prefix}match_{name}{suffix}"
+        match = staged(match, target)
         assert_adjusted(match, a, b, dedup_ids)
+        match = save_match(match, target, {"fn_ids": list(fn_ids), "dedup_ids": list(dedup_ids)})
         reports.append(_report(match, f"{name}{suffix}", day2, vars_change, nrow, null_changes, f"{path_changes}/{prefix}changes", f"{path_reports}/{prefix}reports"))
     return _stack(reports)
