@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.match import Match
-from .audit import no_pairs
 
 SNAPSHOT_A = """
 SELECT c.c_custkey AS voter_id, concat('AF', cast(100000 + c.c_custkey AS varchar(20))) AS aff_number, p.p_name AS full_name,
@@ -39,8 +38,12 @@ PAIRS = """
 SELECT a.voter_id AS a_id, b.voter_id AS b_id FROM {a} a JOIN {b} b
 ON b.voter_id = CASE WHEN a.voter_id % 20 IN (1, 6) THEN a.voter_id WHEN a.voter_id % 40 = 2 THEN a.voter_id + 20 WHEN a.voter_id % 40 = 22 THEN a.voter_id - 20
                      WHEN a.voter_id % 20 = 7 THEN a.voter_id + 1 WHEN a.voter_id % 20 = 9 THEN a.voter_id - 3 END"""
-ONLY_A = "SELECT voter_id AS id FROM {a} WHERE voter_id % 20 IN (0, 3)"
-ONLY_B = "SELECT voter_id AS id FROM {b} WHERE voter_id % 20 IN (3, 7) AND voter_id < 1000000"
+ONLY_A = "SELECT voter_id AS id FROM {a} WHERE voter_id % 20 IN (0, 3, 5, 8)"
+ONLY_B = "SELECT voter_id AS id FROM {b} WHERE voter_id % 20 IN (3, 7, 9) OR voter_id >= 1000000"
+#: All other rows of both sides are matched by their id.
+ID_PAIRS = """
+SELECT a.voter_id AS a_id, b.voter_id AS b_id FROM {a} a JOIN {b} b ON a.voter_id = b.voter_id
+WHERE a.voter_id % 20 = 4 OR a.voter_id % 20 >= 10"""
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
@@ -59,17 +62,36 @@ def third(spark: SparkSession, b: DataFrame) -> DataFrame:
 
 def faulty_match(spark: SparkSession, sf_dir: str) -> Match:
     a, b = snapshots(spark, sf_dir)
-    keys = {k: spark.sql(sql, **{s: df for s, df in (("a", a), ("b", b)) if f"{{{s}}}" in sql}) for k, sql in (("p", PAIRS), ("oa", ONLY_A), ("ob", ONLY_B))}
+    keys = {k: spark.sql(sql, **{s: df for s, df in (("a", a), ("b", b)) if f"{{{s}}}" in sql}) for k, sql in (("p", PAIRS), ("ip", ID_PAIRS), ("oa", ONLY_A), ("ob", ONLY_B))}
     whole = lambda df, s: df.select(F.struct(*df.columns).alias(s))
-    pairs = (
-        keys["p"].join(whole(a, "a"), F.col("a_id") == F.col("a.voter_id")).join(whole(b, "b"), F.col("b_id") == F.col("b.voter_id")).select("a", "b")
+    pairs, id_pairs = (
+        keys[k].join(whole(a, "a"), F.col("a_id") == F.col("a.voter_id")).join(whole(b, "b"), F.col("b_id") == F.col("b.voter_id")).select("a", "b")
+        for k in ("p", "ip")
     )
     one = lambda df, k: df.join(keys[k], F.col("voter_id") == F.col("id"), "left_semi")
-    return Match(a.limit(0), no_pairs(a, b), pairs, one(a, "oa"), one(b, "ob"))
+    return Match(a.limit(0), id_pairs, pairs, one(a, "oa"), one(b, "ob"))
 
 
 def oracle_views() -> str:
     """The fixtures as the first members of a WITH clause."""
     plain = {n: n for n in ("customer", "part", "nation", "supplier", "a", "b")}
-    parts = {"a": SNAPSHOT_A, "b": SNAPSHOT_B, "c": SNAPSHOT_C, "p": PAIRS, "oa": ONLY_A, "ob": ONLY_B}
+    parts = {"a": SNAPSHOT_A, "b": SNAPSHOT_B, "c": SNAPSHOT_C, "p": PAIRS, "ip": ID_PAIRS, "oa": ONLY_A, "ob": ONLY_B}
     return ", ".join(f"{k} AS ({v.format(**plain)})" for k, v in parts.items())
+
+
+def saved_days(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Three cleaned snapshots in ``folder``; their catalogue."""
+    a, b = snapshots(spark, sf_dir)
+    for label, df in (("d1", a), ("d2", b), ("d3", third(spark, b))):
+        df.write.parquet(f"{folder}/clean/df_cleaned_{label}.parquet")
+    return spark.createDataFrame([(f"2024-01-0{k}", f"d{k}") for k in (1, 2, 3)], "date string, date_label string")
+
+
+def raw_file(df: DataFrame, folder: str, name: str, header: bool) -> None:
+    """``df`` as one tab-separated file."""
+    spark = df.sparkSession
+    df.coalesce(1).write.csv(f"{folder}/parts-{name}", sep="\t", header=header, quote="", escape="", encoding="ISO-8859-1", emptyValue="")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(path(f"{folder}/parts-{name}")) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, path(f"{folder}/{name}"))

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.nullsafe import common_ids
+from ..functions.nullsafe import common_ids, first_by, full_join, repeated, union_filled
+from ..functions.storage import shared_dir
 from ..functions.text import ASCII, DOUBLE, LATIN, latin_ascii, similarity
 from ..operators import adjust, changes, evaluate, linkage
 from ..operators.clean import clean_email, clean_phone
 from ..operators.match import Interim, Match, exact_match, exact_sample, id_match
-from ..sources.catalog import date_spine, with_labels
+from ..sources.catalog import date_spine, snapshot_list, with_labels
+from ..sources.snapshots import clean_snapshot, snapshot_import
+from . import audit
 from .audit import match_none
-from .fixtures import faulty_match, oracle_views, snapshots, tables, third
+from .fixtures import faulty_match, oracle_views, raw_file, saved_days, snapshots, tables, third
 
 FIELDS = ["aff_number", "full_name", "phone", "city", "dob_days", "party"]
 BLOCKS = [["dob_days"], ["city", "party"]]
@@ -161,14 +165,14 @@ _MADE = ["ABC@Example.com", "José@x.org", "abcQexample.com", ""]
 
 
 @query("clean_email", f"""
-, e AS (SELECT doc_id AS id, nullif(regexp_extract(text, '{_EMAIL}', 0), '') AS email FROM documents UNION ALL
+, e AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS email FROM documents UNION ALL
         SELECT * FROM (VALUES {", ".join(f"({-i - 1}, '{x}')" for i, x in enumerate(_MADE))}) t(id, email)),
 f AS (SELECT id, email, {_latin_sql("lower(email)")} AS low FROM e WHERE email IS NOT NULL)
 SELECT id, email, CASE WHEN NOT regexp_matches(low, 'abc@example.com') AND NOT regexp_matches(low, '^user1') THEN low END AS cleaned FROM f""".lstrip("\n"))
 def clean_email_query(spark, sf_dir):
     docs = tables(spark, sf_dir, "documents")["documents"]
     made = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(_MADE)], "id long, email string")
-    found = docs.select(F.col("doc_id").alias("id"), F.nullif(F.regexp_extract("text", _EMAIL, 0), F.lit("")).alias("email")).filter("email IS NOT NULL")
+    found = docs.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit(_EMAIL), F.lit(0))).alias("email"))
     return found.union(made).withColumn("cleaned", clean_email(F.col("email"), ("abc@example.com", "^user1")))
 
 
@@ -254,11 +258,12 @@ def _flat(m: Match) -> DataFrame:
     none = F.lit(None).cast("long")
     a, b = F.col("voter_id").alias("a_id"), F.col("voter_id").alias("b_id")
     pairs = m.changed.select(F.lit("changed").alias("bucket"), F.col("a.voter_id").alias("a_id"), F.col("b.voter_id").alias("b_id"))
-    return pairs.union(m.only_a.select(F.lit("only_a"), a, none)).union(m.only_b.select(F.lit("only_b"), none, b))
+    by_id = m.id_pairs.select(F.lit("id_match"), F.col("a.voter_id"), F.col("b.voter_id"))
+    return pairs.union(by_id).union(m.only_a.select(F.lit("only_a"), a, none)).union(m.only_b.select(F.lit("only_b"), none, b))
 
 
 def _flat_sql(p, oa, ob):
-    return f"SELECT 'changed' AS bucket, a_id, b_id FROM {p} UNION ALL SELECT 'only_a', id, NULL FROM {oa} UNION ALL SELECT 'only_b', NULL, id FROM {ob}"
+    return f"SELECT 'changed' AS bucket, a_id, b_id FROM {p} UNION ALL SELECT 'id_match', a_id, b_id FROM ip UNION ALL SELECT 'only_a', id, NULL FROM {oa} UNION ALL SELECT 'only_b', NULL, id FROM {ob}"
 
 
 _FN1 = """, g1 AS (SELECT * FROM p WHERE a_id IN (SELECT id FROM ob) AND a_id NOT IN (SELECT b_id FROM p)),
@@ -293,11 +298,131 @@ query("adjust_fn4", _FN4 + _flat_sql("p5", "oa", "ob5"))(lambda s, d: _flat(adju
 query("adjust_dups", _DUPS + _flat_sql("p6", "oa6", "ob6"))(lambda s, d: _flat(adjust.adjust_dups(adjust.settle(faulty_match(s, d)), ["voter_id"])))
 
 
-@query("adjusted")
+_STEPS = {"g1", "p1", "oa1", "ob1", "g2", "p2", "oa2", "ob2", "p3", "oa3", "ob3", "ob4", "w", "ids", "p5", "ob5", "m", "p6", "bad", "oa6", "ob6"}
+
+
+def _chain(*steps: tuple[str, str, str, str]) -> str:
+    """WITH members of repairs one after the other; each step reads p, oa and ob and says what they are afterwards."""
+    out, now = "", {"p": "p", "oa": "oa", "ob": "ob"}
+    for k, (sql, *after) in enumerate(steps):
+        named = lambda t, k=k, now=dict(now): re.sub(r"\w+", lambda m: f"{m[0]}_{k}" if m[0] in _STEPS else now.get(m[0], m[0]), t)
+        out += named(sql)
+        now = {x: named(y) for x, y in zip(now, after)}
+    return out + _flat_sql(now["p"], now["oa"], now["ob"])
+
+
+_REPEATED = ", ob4 AS (SELECT id FROM ob WHERE id NOT IN (SELECT b_id FROM p)) "
+
+
+@query("adjusted", _chain((_FN1, "p2", "oa2", "ob2"), (_FN2, "p3", "oa3", "ob3"), (_REPEATED, "p", "oa", "ob4"), (_FN4, "p5", "oa", "ob5"),
+                          (_DUPS, "p6", "oa6", "ob6"), (_REPEATED, "p", "oa", "ob4")))
 def adjusted(spark, sf_dir):
     return _flat(adjust.adjust_dups(adjust.adjust_fn(adjust.settle(faulty_match(spark, sf_dir)), ["voter_id"]), ["voter_id"]))
 
 
+# What linkage has to find is what the fixture planted: voter v of class 5 is v + 1000000 on the second day.
+_PLANTED = ", pl AS (SELECT x.voter_id AS a_id, y.voter_id AS b_id FROM ra x JOIN rb y ON y.voter_id = x.voter_id + 1000000 AND x.voter_id % 20 = 5)"
+
+
+@query("linked_pairs", f"{_PLANTED} SELECT a_id, b_id FROM pl")
+def linked_pairs(spark, sf_dir):
+    i = _inter(spark, sf_dir)
+    links, _ = linkage.link(i.mismatch_a, i.mismatch_b, AUDIT["varnames"], AUDIT["varnames_str"], block=AUDIT["varnames_block"], key="voter_id")
+    return links.select(F.col("_rid_a").alias("a_id"), F.col("_rid_b").alias("b_id"))
+
+
+AUDIT = {
+    "varnames": ["full_name", "city", "dob_days"], "varnames_str": ["full_name", "city"], "varnames_id": ["voter_id"],
+    "varnames_block": [["dob_days"], ["city"]], "vars_change": ["phone", "city"],
+}
+_BOTH = "SELECT x.voter_id AS a_id, y.voter_id AS b_id FROM ia x JOIN ib y ON x.voter_id = y.voter_id UNION ALL SELECT a_id, b_id FROM pl"
+_TRACKED = "(SELECT count(*) FROM both_days JOIN a ON a.voter_id = a_id JOIN b ON b.voter_id = b_id WHERE coalesce(a.{0} <> b.{0}, true))"
+_NEXT = "(SELECT count(*) FROM nx x JOIN c y ON x.voter_id = y.voter_id WHERE coalesce(x.{0} <> y.{0}, true))"
+_AUDIT_SQL = f"""{_PLANTED}, both_days AS ({_BOTH}), same AS (SELECT x.* FROM b x JOIN c y ON {_EQ}),
+nx AS (SELECT * FROM b x WHERE voter_id IN (SELECT voter_id FROM c) AND NOT EXISTS (SELECT 1 FROM same y WHERE x.voter_id = y.voter_id)),
+l AS (
+SELECT 'd2' AS date_origin, 'Exact Matches' AS labels, (SELECT count(*) FROM exact) AS change_n UNION ALL
+SELECT 'd2', 'Changed', (SELECT count(*) FROM both_days) UNION ALL
+SELECT 'd2', 'Dropped', (SELECT count(*) FROM ra WHERE voter_id NOT IN (SELECT a_id FROM pl)) UNION ALL
+SELECT 'd2', 'Added', (SELECT count(*) FROM rb WHERE voter_id NOT IN (SELECT b_id FROM pl)) UNION ALL
+SELECT 'd2', 'phone', {_TRACKED.format("phone")} UNION ALL SELECT 'd2', 'city', {_TRACKED.format("city")} UNION ALL
+SELECT 'd3', 'Exact Matches', (SELECT count(*) FROM same) UNION ALL SELECT 'd3', 'Changed', (SELECT count(*) FROM nx) UNION ALL
+SELECT 'd3', 'Dropped', (SELECT count(*) FROM b WHERE voter_id NOT IN (SELECT voter_id FROM c)) UNION ALL SELECT 'd3', 'Added', 0 UNION ALL
+SELECT 'd3', 'phone', {_NEXT.format("phone")} UNION ALL SELECT 'd3', 'city', {_NEXT.format("city")}),
+t AS (SELECT 'd2' AS date_origin, (SELECT count(*) FROM a) AS "totalA", (SELECT count(*) FROM b) AS "totalB" UNION ALL
+      SELECT 'd3', (SELECT count(*) FROM b), (SELECT count(*) FROM c))
+SELECT l.date_origin, labels, "totalA", "totalB", change_n, change_n / CAST("totalB" AS DOUBLE) AS change_prop FROM l JOIN t ON t.date_origin = l.date_origin"""
+
+
+def _audited(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    paths = {f"path_{k}": f"{folder}/{k}" for k in ("clean", "changes", "reports", "matches")}
+    days = saved_days(spark, sf_dir, folder)
+    return days, paths, audit.vrmatch(days, **AUDIT, **paths)
+
+
+query("vrmatch", _AUDIT_SQL)(lambda s, d: _audited(s, d)[2])
+
+
+@query("adjust_vrmatch", _AUDIT_SQL)
+def adjust_vrmatch(spark, sf_dir):
+    days, paths, _ = _audited(spark, sf_dir)
+    return audit.adjust_vrmatch(days, ["voter_id"], ["voter_id"], AUDIT["vars_change"], **paths)
+
+
+@query("vrmatch_changes", f"""{_PLANTED}, both_days AS ({_BOTH})
+SELECT a_id, b_id, field, value_a, value_b FROM (
+SELECT a_id, b_id, 'phone' AS field, a.phone AS value_a, b.phone AS value_b FROM both_days JOIN a ON a.voter_id = a_id JOIN b ON b.voter_id = b_id
+UNION ALL SELECT a_id, b_id, 'city', a.city, b.city FROM both_days JOIN a ON a.voter_id = a_id JOIN b ON b.voter_id = b_id)
+WHERE coalesce(value_a <> value_b, true)""")
+def vrmatch_changes(spark, sf_dir):
+    _, paths, _ = _audited(spark, sf_dir)
+    found = spark.read.parquet(f"{paths['path_changes']}/change_d1_d2")
+    return found.select(F.col("a.voter_id").alias("a_id"), F.col("b.voter_id").alias("b_id"), "field", "value_a", "value_b")
+
+
+@query("vrmatch_performance", f"""{_PLANTED} SELECT date_origin, pr, tp, fp FROM (
+SELECT 'd2' AS date_origin, (SELECT count(*) FROM pl) AS pr, (SELECT count(*) FROM pl JOIN a ON a.voter_id = a_id JOIN b ON b.voter_id = b_id AND b.dob_days = a.dob_days) AS tp, 0 AS fp
+UNION ALL SELECT 'd3', 0, 0, 0)""")
+def vrmatch_performance(spark, sf_dir):
+    days, paths, _ = _audited(spark, sf_dir)
+    return audit.performance(days, paths["path_matches"], ids=["dob_days"]).select("date_origin", "pr", "tp", "fp")
+
+
+_RAW = ["voter_id", "full_name", "phone", "city", "party"]
+
+
+def _raw_files(spark, sf_dir, header=True):
+    folder = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    for label, df in zip(("042618", "042718"), snapshots(spark, sf_dir)):
+        raw_file(df.select(_RAW), folder, f"Cntywd_{label}.txt", header)
+    return folder
+
+
+_RAW_SQL = "SELECT CAST(voter_id AS VARCHAR) AS voter_id, trim(full_name) AS full_name, phone, trim(city) AS city, trim(party) AS party FROM b"
+query("snapshot_import", _RAW_SQL)(lambda s, d: snapshot_import(s, _raw_files(s, d), "Cntywd_", "042718"))
+query("snapshot_import_base", _RAW_SQL)(
+    lambda s, d: snapshot_import(s, _raw_files(s, d, False), "Cntywd_", ["042618", "042718"], col_names=_RAW, package="base")["dfB"]
+)
+
+
+@query("snapshot_list_files", """SELECT date, weekday, date_label FROM (VALUES (DATE '2018-04-26', 'Thu', '042618'), (DATE '2018-04-27', 'Fri', '042718')) t(date, weekday, date_label)""")
+def snapshot_list_files(spark, sf_dir):
+    return snapshot_list(spark, "2018-04-20", "2018-05-10", _raw_files(spark, sf_dir))
+
+
+@query("clean_snapshot", r"""
+SELECT CAST(voter_id AS DOUBLE) AS voter_id, trim(regexp_replace(regexp_replace(upper(full_name), '[^A-Z ]', '', 'g'), ' +', ' ', 'g')) AS full_name,
+       CASE WHEN strpos(phone, '555-0000') > 0 THEN NULL ELSE phone END AS phone, trim(city) AS city, trim(party) AS party FROM b""".lstrip("\n"))
+def clean_snapshot_query(spark, sf_dir):
+    folder = _raw_files(spark, sf_dir)
+    written = clean_snapshot(
+        spark, start="2018-04-27", end="2018-04-28", path=folder, path_clean=f"{folder}/clean", num=["voter_id"], first="full_name",
+        voter_prefix=None, gender=None, email=None, phone="phone", phone_exc=["555-0000"],
+    )
+    return spark.read.parquet(*written)
+
+
 def _performance_sql(names, join):
     each = lambda t, ids: f" {join} ".join(f"{t}.{n} IN (SELECT {n} FROM {ids})" for n in names)
     both = f" {join} ".join(f"(x.{n} IN (SELECT {n} FROM cb) OR x.{n} IN (SELECT {n} FROM bb))" for n in names)
@@ -325,33 +450,30 @@ def _compared(spark, sf_dir):
 
 _ids_of = lambda df: df.select(F.col("a.voter_id").alias("a_id"), F.col("b.voter_id").alias("b_id"))
 query("compare_setdiff", "SELECT a_id, b_id FROM p WHERE a_id <> b_id AND a_id % 3 = 0 AND a_id % 20 <> 6")(lambda s, d: _ids_of(_compared(s, d)["setdiff_1"]))
-query("compare_union", "SELECT a_id, b_id FROM p")(lambda s, d: _ids_of(_compared(s, d)["union"]))
+query("compare_union", "SELECT a_id, b_id FROM p UNION ALL SELECT a_id, b_id FROM ip")(lambda s, d: _ids_of(_compared(s, d)["union"]))
 
 
 @query("dup_ids", """SELECT l_orderkey, l_linenumber, n FROM (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1""")
 def dup_ids(spark, sf_dir):
-    n = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
-    return tables(spark, sf_dir, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber", n.alias("n")).filter("n > 1")
+    return repeated(tables(spark, sf_dir, "lineitem")["lineitem"], ["l_orderkey", "l_linenumber"])
 
 
 @query("first_match_lookup", """SELECT voter_id, aff_number FROM (
 SELECT voter_id, aff_number, row_number() OVER (PARTITION BY city ORDER BY voter_id) AS k FROM a) WHERE k = 1""")
 def first_match_lookup(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("city").orderBy("voter_id"))
-    return snapshots(spark, sf_dir)[0].withColumn("k", k).filter("k = 1").select("voter_id", "aff_number")
+    return first_by(snapshots(spark, sf_dir)[0], "city", ["voter_id"]).select("voter_id", "aff_number")
 
 
 @query("full_join_ids", "SELECT coalesce(x.voter_id, y.voter_id) AS voter_id, x.party AS party_a, y.party AS party_b FROM ma x FULL JOIN mb y ON x.voter_id = y.voter_id")
 def full_join_ids(spark, sf_dir):
     i = exact_match(*snapshots(spark, sf_dir))
-    j = i.mismatch_a.alias("x").join(i.mismatch_b.alias("y"), F.col("x.voter_id").eqNullSafe(F.col("y.voter_id")), "full_outer")
-    return j.select(F.coalesce("x.voter_id", "y.voter_id").alias("voter_id"), F.col("x.party").alias("party_a"), F.col("y.party").alias("party_b"))
+    return full_join(i.mismatch_a, i.mismatch_b, "voter_id").select("voter_id", "party_a", "party_b")
 
 
 @query("union_by_name", "SELECT voter_id, party, NULL AS phone FROM ra UNION ALL SELECT voter_id, NULL, phone FROM rb")
 def union_by_name(spark, sf_dir):
     i = _inter(spark, sf_dir)
-    return i.mismatch_a.select("voter_id", "party").unionByName(i.mismatch_b.select("phone", "voter_id"), allowMissingColumns=True)
+    return union_filled(i.mismatch_a.select("voter_id", "party"), i.mismatch_b.select("phone", "voter_id"))
 
 
 @query("common_ids", "SELECT voter_id FROM ma INTERSECT SELECT voter_id FROM mb")

@@ -188,3 +188,61 @@ def test_arrivals(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).filter(F.col("labels") == "Exact Matches").first()["change_n"] == 94
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_columns_with_inner_names(spark):
+    names = "side in_a in_b copy _a _ka _kb _c k n a b kind sides o0 mark bucket _k _n _r _rid id".split()
+    df = spark.createDataFrame([tuple(str(i + j) for j in range(len(names))) for i in range(5)], ", ".join(f"`{c}` string" for c in names))
+    inter = exact_match(df, df)
+    assert inter.exact.count() == 5 and inter.mismatch_a.count() == inter.mismatch_b.count() == 0 and inter.exact.columns == names
+    changed = df.withColumn("side", F.lit("new"))
+    done = id_match(exact_match(df, changed), ["id"])
+    assert done.id_pairs.count() == 5 and done.mismatch_a.count() == 0 and done.id_match_a.columns == names
+    assert random_sample(inter, sample_exact=True, sample_perc=0.4)[0].columns == names
+
+
+def test_unbalanced_ids_raise_or_stay(spark):
+    a, b = frame(spark, [("1", "p"), ("1", "q"), (None, "x"), ("7", "y")]), frame(spark, [("1", "r"), (None, "z"), (None, "zz")])
+    with pytest.raises(ConservationError):
+        id_match(exact_match(a, b), ["id"])
+    done = id_match(exact_match(a, b), ["id"], on_unbalanced="demote")
+    assert rows(done.id_pairs) == [(("1", "p"), ("1", "r")), ((None, "x"), (None, "z"))]
+    assert rows(done.mismatch_a) == [("1", "q"), ("7", "y")] and rows(done.mismatch_b) == [(None, "zz")]
+    assert_inter(done, a, b)
+    apart = id_match(exact_match(a, b), ["id"], null_ids_match=False, on_unbalanced="demote")
+    assert apart.id_pairs.count() == 1 and apart.mismatch_b.count() == 2
+
+
+def test_a_row_of_a_is_in_one_pair(spark):
+    s = "a struct<id:string,v:string>, b struct<id:string,v:string>, posterior double, _rid_a long, _rid_b long"
+    links = spark.createDataFrame([(("1", "x"), ("2", "y"), 0.9, 1, 11), (("1", "x"), ("3", "z"), 0.9, 1, 12), (("4", "x"), ("2", "y"), 0.9, 2, 11), (("5", "x"), ("2", "y"), 0.8, 3, 11)], s)
+    got = [(r["_rid_a"], r["_rid_b"]) for r in linkage.one_to_one(links).collect()]
+    assert sorted(got) == [(1, 11), (2, 11)]
+
+
+def test_a_row_of_nulls_and_lost_rows_are_told(spark):
+    a = frame(spark, [("1", "p")])
+    with pytest.raises(ConservationError):
+        audit.assert_match(made(spark, [], [("1", "p"), ("2", "q")]), a)
+    with pytest.raises(ConservationError):
+        audit.assert_match(made(spark, [], [(None, None)]), a)
+
+
+def test_exact_samples_of_repeated_rows(spark):
+    df = frame(spark, [("1", "same")] * 300 + [(str(i), "x") for i in range(300)]).repartition(7)
+    from rolltrace.operators.match import exact_sample
+
+    for size in (0, 1, 250, 599, 600, 900):
+        got = exact_sample(df, ["id", "v"], 5, "a", size=size)
+        assert got.count() == min(size, 600) and rows(got) == rows(exact_sample(df.repartition(2), ["id", "v"], 5, "a", size=size))
+
+
+def test_linkage_errors_are_not_hidden(spark, tmp_path, monkeypatch):
+    a, b = frame(spark, [(str(i), "x") for i in range(4)]), frame(spark, [(str(i), "y") for i in range(4)])
+
+    def lost(*args, **options):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(audit, "link", lost)
+    with pytest.raises(RuntimeError):
+        audit.match_pair(a, b, str(tmp_path), ["v"], ["v"])
