@@ -13,7 +13,8 @@ Every level is written to the shared folder, so a lost executor repeats one task
 
 Ids come from the tokenizers library alone. It splits a text into words and looks at one word at a
 time; a blank between two plain characters (see ``_BETWEEN``) always begins a word. Texts are
-cut there, and the library's ids of every stretch are remembered by the worker, up to a bound.
+cut there, and the library's ids of every stretch are remembered by the worker, up to a bound; those
+not yet known are given to it many at a time.
 
 Defined cases: null text is empty and is packed as its end id alone; null ids are carried; repeated
 rows are packed each; an empty table gives an empty table; ties between bins of equal
@@ -27,9 +28,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +51,13 @@ _PACKED = _PIECES + ", sequence_id long, offset long, done boolean"
 #: printable ASCII, and letters of Latin, Greek and Cyrillic.
 _PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f"
 _BETWEEN = re.compile(f"(?<=[{_PLAIN}]) (?=[{_PLAIN}])")
-_EDGES = re.compile(f"[{_PLAIN}](?:.*[{_PLAIN}])?", re.S).fullmatch
+#: A blank that is not between two of them.
+_ODD = f"(?:\\A|[^{_PLAIN}]) | (?:\\z|[^{_PLAIN}])"
 #: Stretches that a worker remembers in either of two generations, and the longest it remembers.
 KEPT, KEPT_LENGTH = 400_000, 40
+#: Stretches that go to the library as one text, and those whose ids are laid out at once.
+TOGETHER, LAID_OUT = 200, 30_000
+_SIMPLE = re.compile(f"[{_PLAIN}](?:[^ ]{{0,{KEPT_LENGTH - 2}}}[{_PLAIN}])?").fullmatch
 
 
 class Ids:
@@ -62,39 +69,80 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(json_path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: whether a token begins with a blank, which byte-level files write so
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[k for x, k in vocabulary.items() if x.startswith("\u0120")]] = True
         #: ids of what follows a blank, the blank's own included; what is not met for long goes with the older half
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 10_000):
-            out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stretches(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of stretches, each behind a blank. Simple ones go to the library many in one text: only
+        their first tokens begin with a blank, so these part the ids again."""
+        is_simple = list(map(_SIMPLE, new))
+        simple, rest = list(compress(new, is_simple)), [x for x, match in zip(new, is_simple) if not match]
+        out = {}
+        for k in range(0, len(simple), TOGETHER):
+            some = simple[k : k + TOGETHER]
+            ids = self._ids([f" {' '.join(some)}"])[0]
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(some) or at[0]:  # not a byte-level file
+                rest += some
+                continue
+            raw, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            out.update((x, raw[i:j]) for x, i, j in zip(some, ends, ends[1:]))
+        out.update((x, ids.tobytes()) for x, ids in zip(rest, self._ids([f" {x}" for x in rest])))
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of every text."""
-        cut = [t.split(" ") for t in texts]
-        odd = [len(c) > 1 and not _EDGES(c[0]) for c in cut]
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of every one of these different stretches."""
         if len(self.known) > KEPT:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = {x for parts in cut for x in parts[1:]}.difference(known)
-        bad = {x for x in new if x not in older and not _EDGES(x)}
-        if bad or any(odd):  # some blank of these texts does not begin a word
-            for k, parts in enumerate(cut):
-                if odd[k] or not bad.isdisjoint(parts[1:]):
-                    cut[k] = _BETWEEN.split(texts[k])
-            new = {x for parts in cut for x in parts[1:]}.difference(known)
-        known.update((x, older[x]) for x in new if x in older)
-        new = [x for x in new if x not in older]
-        known.update(zip(new, self._ids([f" {x}" for x in new])))
-        firsts = self._ids([c[0] for c in cut])
-        out = [np.frombuffer(b"".join([first, *map(known.__getitem__, parts[1:])]), "<u4") for first, parts in zip(firsts, cut)]
+        found = list(map(known.get, words))
+        if older:
+            kept = {x: older[x] for x, ids in zip(words, found) if ids is None and x in older}
+            known.update(kept)
+            found = [kept.get(x) if ids is None else ids for x, ids in zip(words, found)]
+        new = self._stretches([x for x, ids in zip(words, found) if ids is None])
+        known.update(new)
         for x in new:
             if len(x) > KEPT_LENGTH:
                 del known[x]
-        return out
+        return [new[x] if ids is None else ids for x, ids in zip(words, found)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        if not texts:
+            return []
+        given = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(given, _ODD)
+        usual = pc.split_pattern(given.filter(pc.invert(odd)), " ")
+        other = pa.array([_BETWEEN.split(x) for x in given.filter(odd).to_pylist()], usual.type)
+        cut = pa.concat_arrays([usual, other]).take(pa.array(np.argsort(np.argsort(odd.to_numpy(False), kind="stable"))))
+        bounds = cut.offsets.to_numpy()
+        stretches = cut.flatten()
+        leads = np.zeros(len(stretches), bool)  # begins a text, so no blank stands before it
+        leads[bounds[:-1]] = True
+        coded = stretches.filter(pa.array(~leads)).dictionary_encode()
+        ids = self._look_up(coded.dictionary.to_pylist())
+        code = np.empty(len(stretches), np.int64)
+        code[~leads] = coded.indices.to_numpy()
+        code[leads] = np.arange(len(texts)) + len(ids)
+        ids += [x.tobytes() for x in self._ids(stretches.filter(pa.array(leads)).to_pylist())]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, all_ids = np.cumsum(length) - length, np.frombuffer(b"".join(ids), "<u4")
+        laid_out = []
+        for k in range(0, len(code), LAID_OUT):
+            some = code[k : k + LAID_OUT]
+            n = length[some]
+            laid_out.append(all_ids[np.repeat(start[some] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        ends = np.concatenate([[0], np.cumsum(length[code])])[bounds]
+        return np.split(np.concatenate(laid_out), ends[1:-1])
 
 
 @lru_cache(maxsize=2)
