@@ -54,7 +54,9 @@ _BETWEEN = re.compile(f"(?<=[{_PLAIN}]) (?=[{_PLAIN}])")
 #: A blank that is not between two of them.
 _ODD = f"(?:\\A|[^{_PLAIN}]) | (?:\\z|[^{_PLAIN}])"
 #: Stretches that a worker remembers in either of two generations, and the longest it remembers.
-KEPT, KEPT_LENGTH = 400_000, 40
+KEPT, KEPT_LENGTH = 600_000, 40
+#: Rows and bytes of text (or one text) that are encoded at once.
+ROWS, BYTES = 2000, 8_000_000
 #: Stretches that go to the library as one text, and those whose ids are laid out at once.
 TOGETHER, LAID_OUT = 200, 30_000
 _SIMPLE = re.compile(f"[{_PLAIN}](?:[^ ]{{0,{KEPT_LENGTH - 2}}}[{_PLAIN}])?").fullmatch
@@ -115,11 +117,11 @@ class Ids:
                 del known[x]
         return [new[x] if ids is None else ids for x, ids in zip(words, found)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of every text."""
-        if not texts:
+        if not len(texts):
             return []
-        given = pa.array(texts, pa.large_string())
+        given = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(given, _ODD)
         usual = pc.split_pattern(given.filter(pc.invert(odd)), " ")
         other = pa.array([_BETWEEN.split(x) for x in given.filter(odd).to_pylist()], usual.type)
@@ -156,12 +158,23 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((k, capacity) for k in range(first, n, capacity))]
 
 
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, at most ROWS and BYTES (or one text) at a time."""
+    for batch in row_slices(batches, ROWS):
+        size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(False).astype(np.int64))
+        k = 0
+        while k < batch.num_rows:
+            full = int(np.searchsorted(size, (size[k - 1] if k else 0) + BYTES, "right"))
+            yield batch.slice(k, max(full - k, 1))
+            k = max(full, k + 1)
+
+
 def pieces(docs: DataFrame, json_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _ids(json_path)
-        for batch in row_slices(batches):
+        for batch in bounded(batches):
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist())):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text"))):
                 ids = np.append(ids, np.array([end_id], "<u4")).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
