@@ -30,11 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that :func:`materialise` wrote and nothing has released.
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    """The tables written so far and not released."""
+    return list(_written)
+
+
+def release(paths: list[str], still_read: DataFrame) -> list[str]:
+    """Delete those tables of ``paths`` of which ``still_read`` reads no file; return the others. Results
+    that read a deleted table must have been written before."""
+    spark = still_read.sparkSession
+    read = still_read.inputFiles()
+    kept = [p for p in paths if any(f"/{p.rsplit('/', 1)[1]}/" in x for x in read)]
+    for path in set(paths).difference(kept):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+    return kept
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the
     lineage that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
