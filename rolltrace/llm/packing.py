@@ -57,8 +57,8 @@ _ODD = f"(?:\\A|[^{_PLAIN}]) | (?:\\z|[^{_PLAIN}])"
 KEPT, KEPT_LENGTH = 600_000, 40
 #: Rows and bytes of text (or one text) that are encoded at once.
 ROWS, BYTES = 2000, 8_000_000
-#: Stretches that go to the library as one text, and those whose ids are laid out at once.
-TOGETHER, LAID_OUT = 200, 30_000
+#: Stretches that go to the library as one text.
+TOGETHER = 200
 _SIMPLE = re.compile(f"[{_PLAIN}](?:[^ ]{{0,{KEPT_LENGTH - 2}}}[{_PLAIN}])?").fullmatch
 
 
@@ -83,11 +83,11 @@ class Ids:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _stretches(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of stretches, each behind a blank. Simple ones go to the library many in one text: only
-        their first tokens begin with a blank, so these part the ids again."""
+        """Learn the ids of stretches, each behind a blank, and return those of the ones too long to remember.
+        Simple ones go to the library many in one text: only their first tokens begin with a blank, so
+        these part the ids again."""
         is_simple = list(map(_SIMPLE, new))
         simple, rest = list(compress(new, is_simple)), [x for x, match in zip(new, is_simple) if not match]
-        out = {}
         for k in range(0, len(simple), TOGETHER):
             some = simple[k : k + TOGETHER]
             ids = self._ids([f" {' '.join(some)}"])[0]
@@ -96,26 +96,22 @@ class Ids:
                 rest += some
                 continue
             raw, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            out.update((x, raw[i:j]) for x, i, j in zip(some, ends, ends[1:]))
-        out.update((x, ids.tobytes()) for x, ids in zip(rest, self._ids([f" {x}" for x in rest])))
-        return out
+            self.known.update((x, raw[i:j]) for x, i, j in zip(some, ends, ends[1:]))
+        long = {}
+        for x, ids in zip(rest, self._ids([f" {x}" for x in rest])):
+            (self.known if len(x) <= KEPT_LENGTH else long)[x] = ids.tobytes()
+        return long
 
     def _look_up(self, words: list[str]) -> list[bytes]:
         """The ids of every one of these different stretches."""
         if len(self.known) > KEPT:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        found = list(map(known.get, words))
-        if older:
-            kept = {x: older[x] for x, ids in zip(words, found) if ids is None and x in older}
-            known.update(kept)
-            found = [kept.get(x) if ids is None else ids for x, ids in zip(words, found)]
-        new = self._stretches([x for x, ids in zip(words, found) if ids is None])
-        known.update(new)
-        for x in new:
-            if len(x) > KEPT_LENGTH:
-                del known[x]
-        return [new[x] if ids is None else ids for x, ids in zip(words, found)]
+        unmet = [x for x in words if x not in known]
+        kept = {x: older[x] for x in unmet if x in older}
+        known.update(kept)
+        long = self._stretches([x for x in unmet if x not in kept])
+        return [known[x] if x in known else long[x] for x in words] if long else list(map(known.__getitem__, words))
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of every text."""
@@ -131,20 +127,14 @@ class Ids:
         leads = np.zeros(len(stretches), bool)  # begins a text, so no blank stands before it
         leads[bounds[:-1]] = True
         coded = stretches.filter(pa.array(~leads)).dictionary_encode()
-        ids = self._look_up(coded.dictionary.to_pylist())
+        ids = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         code = np.empty(len(stretches), np.int64)
         code[~leads] = coded.indices.to_numpy()
         code[leads] = np.arange(len(texts)) + len(ids)
         ids += [x.tobytes() for x in self._ids(stretches.filter(pa.array(leads)).to_pylist())]
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start, all_ids = np.cumsum(length) - length, np.frombuffer(b"".join(ids), "<u4")
-        laid_out = []
-        for k in range(0, len(code), LAID_OUT):
-            some = code[k : k + LAID_OUT]
-            n = length[some]
-            laid_out.append(all_ids[np.repeat(start[some] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        ends = np.concatenate([[0], np.cumsum(length[code])])[bounds]
-        return np.split(np.concatenate(laid_out), ends[1:-1])
+        laid_out = pa.array(ids, pa.large_binary()).take(pa.array(code))
+        ends = np.frombuffer(laid_out.buffers()[1], np.int64, len(code) + 1)[bounds] // 4
+        return np.split(np.frombuffer(laid_out.buffers()[2], "<u4", ends[-1]), ends[1:-1])
 
 
 @lru_cache(maxsize=2)
