@@ -213,6 +213,29 @@ def test_unbalanced_ids_raise_or_stay(spark):
     assert apart.id_pairs.count() == 1 and apart.mismatch_b.count() == 2
 
 
+def test_unbalanced_ids_all_pair(spark):
+    s = "id string, k string, v string"
+    a = spark.createDataFrame([("1", "x", "p"), ("2", "y", "p"), (None, "w", "p"), ("7", "u", "p")], s)
+    b = spark.createDataFrame([("1", "x", "q"), ("1", "z", "q"), ("9", "y", "q"), (None, "o", "q"), (None, "w", "r")], s)
+    done = id_match(exact_match(a, b), ["id", "k"], on_unbalanced="all")
+    assert sorted((r["a"]["k"], r["b"]["k"]) for r in done.id_pairs.collect()) == [("w", "o"), ("w", "w"), ("x", "x"), ("x", "z"), ("y", "y")]
+    assert rows(done.mismatch_a) == [("7", "u", "p")] and done.mismatch_b.count() == 0
+    apart = id_match(exact_match(a, b), ["id"], null_ids_match=False, on_unbalanced="all")
+    assert apart.id_pairs.count() == 2 and apart.mismatch_a.count() == 3 and apart.mismatch_b.count() == 3
+
+
+def test_two_ids_where_a_suppliers_number_is_a_customers(spark, tmp_path):
+    import duckdb
+
+    for name, cut in (("customer", "c_custkey + 810000 AS c_custkey"), ("part", "p_partkey + 810000 AS p_partkey"), ("supplier", "s_suppkey + 10000 AS s_suppkey"), ("nation", "n_nationkey")):
+        duckdb.sql(f"COPY (SELECT * REPLACE ({cut if ' AS ' in cut else cut + ' AS ' + cut}) FROM '{SF}/{name}.parquet') TO '{tmp_path}/{name}.parquet'")
+    con = duckdb.connect()
+    for name in ("customer", "part", "supplier", "nation"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.execute(entry.oracle_sql()["id_match_two_ids"]).fetchall()
+    assert len(want) > len({x for x, _ in want}) and rows(entry.queries()["id_match_two_ids"](spark, str(tmp_path))) == sorted(want, key=repr)
+
+
 def test_a_row_of_a_is_in_one_pair(spark):
     s = "a struct<id:string,v:string>, b struct<id:string,v:string>, posterior double, _rid_a long, _rid_b long"
     links = spark.createDataFrame([(("1", "x"), ("2", "y"), 0.9, 1, 11), (("1", "x"), ("3", "z"), 0.9, 1, 12), (("4", "x"), ("2", "y"), 0.9, 2, 11), (("5", "x"), ("2", "y"), 0.8, 3, 11)], s)
