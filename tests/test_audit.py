@@ -260,6 +260,13 @@ def test_exact_samples_of_repeated_rows(spark):
         assert got.count() == min(size, 600) and rows(got) == rows(exact_sample(df.repartition(2), ["id", "v"], 5, "a", size=size))
 
 
+def test_half_a_row_of_a_sample_counts_as_one(spark):
+    from rolltrace.operators.match import exact_sample
+
+    for n, fraction, size in ((5, 0.1, 1), (25, 0.1, 3), (24, 0.1, 2), (45, 0.1, 5), (100, 0.145, 15), (4, 0.1, 0)):
+        assert exact_sample(spark.range(n), ["id"], 1, "a", fraction=fraction).count() == size
+
+
 def test_linkage_errors_are_not_hidden(spark, tmp_path, monkeypatch):
     a, b = frame(spark, [(str(i), "x") for i in range(4)]), frame(spark, [(str(i), "y") for i in range(4)])
 
