@@ -39,6 +39,8 @@ from .common import documents, row_slices, text_of
 #: Bytes of words that one recursive query takes (one longer word goes alone), ids that one decoding
 #: query takes, and bytes of words and their ids that a worker remembers between batches.
 CHUNK, DECODED, KEPT = 400_000, 400_000, 120_000_000
+#: Characters of texts whose words are held from learning to encoding; others are split again.
+HELD = 3_000_000
 #: Words from this length on are parted before they go to the recursion.
 LONG = 64
 
@@ -128,16 +130,21 @@ class Encoder:
 
     def merged(self, raw: list[bytes]) -> list[np.ndarray]:
         """The ids of every one of ``raw`` by the recursion, in chunks."""
-        out, some, size = [], [], 0
+        return [token[a:b] for token, at in self._chunks(raw) for a, b in zip(at, at[1:])]
+
+    def _chunks(self, raw: list[bytes]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """The ids of ``raw``, chunk by chunk, and where each of the chunk's begins, with the end."""
+        some, size = [], 0
         for x in raw:
             if some and size + len(x) > CHUNK:
-                out += self._query(some)
+                yield self._query(some)
                 some, size = [], 0
             some.append(x)
             size += len(x)
-        return out + self._query(some) if some else out
+        if some:
+            yield self._query(some)
 
-    def _query(self, raw: list[bytes]) -> list[np.ndarray]:
+    def _query(self, raw: list[bytes]) -> tuple[np.ndarray, list[int]]:
         length = np.array([len(x) for x in raw])
         end = np.cumsum(length)
         ids = self.single[np.frombuffer(b"".join(raw), np.uint8)]
@@ -151,15 +158,25 @@ class Encoder:
         finally:
             self.con.unregister("pairs")
         word, token = got.column("w").to_numpy(), got.column("a").to_numpy()
-        return np.split(token, np.searchsorted(word, np.arange(1, len(raw))))
+        return token, np.searchsorted(word, np.arange(len(raw) + 1)).tolist()
 
     def learn(self, words: list[str]) -> None:
-        """Put ``words`` into ``known``: their ids as little-endian 32-bit numbers, and as decimals."""
-        cut = [self.parts(w.encode()) for w in words]
+        """Put ``words``, all different, into ``known``: their ids as little-endian 32-bit numbers, and as decimals."""
+        short, long = [], []
+        for w in words:
+            (short if len(raw := w.encode()) < LONG else long).append((w, raw))
+        names = iter([w for w, _ in short])
+        for token, at in self._chunks([raw for _, raw in short]):
+            raw, shown = token.astype("<i4").tobytes(), list(map(str, token.tolist()))
+            for a, b, w in zip(at, at[1:], names):
+                self.known[w] = (raw[4 * a : 4 * b], ",".join(shown[a:b]))
+                self.held += len(w)
+            self.held += 149 * (len(at) - 1) + len(raw) + sum(map(len, shown)) + len(shown)
+        cut = [self.parts(raw) for _, raw in long]
         distinct = list({x for parts in cut for x in parts})
         ids = dict(zip(distinct, (x.astype("<i4").tobytes() for x in self.merged(distinct))))
-        for w, parts in zip(words, cut):
-            raw = ids[parts[0]] if len(parts) == 1 else b"".join([ids[x] for x in parts])
+        for (w, _), parts in zip(long, cut):
+            raw = b"".join([ids[x] for x in parts])
             shown = ",".join(map(str, np.frombuffer(raw, "<i4").tolist()))
             self.known[w] = (raw, shown)
             self.held += 150 + len(w) + len(raw) + len(shown)
@@ -170,27 +187,32 @@ class Encoder:
             self.known = {w: self.known[w] for w in words if w in self.known}
             self.held = sum(150 + len(w) + len(x) + len(y) for w, (x, y) in self.known.items())
 
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids of a text, and the same joined by commas."""
-        words = self.split(text)
-        if new := list({w for w in words if w not in self.known}):
+    def encode(self, text: str, words: list[str] | None = None) -> tuple[np.ndarray, str]:
+        """The ids of a text, whose ``words`` may be given, and the same joined by commas."""
+        words = self.split(text) if words is None else words
+        try:
+            got = list(map(self.known.__getitem__, words))
+        except KeyError:
             self.forget(words)
-            self.learn(list({*new, *(w for w in words if w not in self.known)}))
-        got = list(map(self.known.__getitem__, words))
+            self.learn(list({w for w in words if w not in self.known}))
+            got = list(map(self.known.__getitem__, words))
         return np.frombuffer(b"".join([x for x, _ in got]), "<i4"), ",".join([y for _, y in got])
 
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the new words of several texts together: one query serves many. Texts whose words
-        are too many to be remembered at once are left to :meth:`encode`."""
-        distinct, size = set(), 0
+    def prepare(self, texts: list[str]) -> list[list[str] | None]:
+        """Learn the new words of several texts together: one query serves many; the words of each text. Texts whose
+        words are too many to be held at once get None, and those too many to be remembered are left to :meth:`encode`."""
+        distinct, size, out = set(), 0, []
         for text in texts:
-            distinct.update(self.split(text))
+            words = self.split(text)
+            distinct.update(words)
             size += len(text)
+            out.append(words if size <= HELD else None)
             if size > KEPT // 10:
                 break
         self.forget(list(distinct))
         if new := [w for w in distinct if w not in self.known]:
             self.learn(new)
+        return out + [None] * (len(texts) - len(out))
 
     def decode(self, texts: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         """(number of the text, bytes) of the stretches of id sequences, in order."""
@@ -219,8 +241,7 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -
         own = encoder(path, pattern)
         for batch in row_slices(batches):
             texts = batch.column("text").to_pylist()
-            own.prepare(texts)
-            found = [own.encode(t) for t in texts]
+            found = list(map(own.encode, texts, own.prepare(texts)))
             decoded, whole = [hashlib.sha256() for _ in texts], [[] for _ in texts]
             for k, stretch in own.decode([ids for ids, _ in found]):
                 decoded[k].update(stretch)

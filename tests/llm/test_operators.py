@@ -681,6 +681,15 @@ def test_a_worker_forgets_words(monkeypatch):
         assert own.held < 300_000
 
 
+def test_texts_are_split_once():
+    ranks, pattern, enc = public_bpe()
+    own, texts = byte_bpe.Encoder(ranks, pattern), ["hello there", "", "x" * 200 + " hello", "été 東京"]
+    plain, seen = own.split, []
+    own.split = lambda text: seen.append(text) or plain(text)
+    found = list(map(own.encode, texts, own.prepare(texts)))
+    assert seen == texts and [ids.tolist() for ids, _ in found] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_a_vocabulary_that_needs_single_steps_is_refused():
     ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256}  # nothing makes abc
     with pytest.raises(ValueError):
