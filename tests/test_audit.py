@@ -280,6 +280,34 @@ def test_the_audit_where_linked_rows_have_twins(spark, tmp_path, name):
     assert exact(entry.queries()[name](spark, str(tmp_path)).collect()) == exact(con.execute(entry.oracle_sql()[name]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["vrmatch", "adjust_vrmatch", "vrmatch_changes", "vrmatch_performance"])
+def test_the_audit_where_a_neighbour_has_the_better_pattern(spark, tmp_path, name):
+    import duckdb
+
+    # five customers share a birth date; "cod plate" is less like its own "cold plate" than the neighbour's "ol plate" is
+    con = duckdb.connect()
+    old = "/root/testdata/sf0.1"
+    keys = "(SELECT r + 20000 * k AS v FROM range(10500, 10900) r(r), range(5) k(k))"
+    made = {
+        "customer": f"SELECT v AS c_custkey, c_nationkey, c_mktsegment FROM {keys} JOIN '{old}/customer.parquet' ON c_custkey = v * 31 % 14983",
+        "part": f"SELECT v AS p_partkey, CASE v WHEN 10625 THEN 'cold plate' WHEN 30625 THEN 'old plate' ELSE p_name END AS p_name FROM {keys} JOIN '{old}/part.parquet' ON p_partkey = v * 37 % 19997",
+        "supplier": f"SELECT * FROM '{old}/supplier.parquet' WHERE s_suppkey < 100",
+        "nation": f"SELECT * FROM '{old}/nation.parquet'",
+    }
+    for table, sql in made.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{table}.parquet'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    exact = lambda found: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found), key=repr)
+    assert exact(entry.queries()[name](spark, str(tmp_path)).collect()) == exact(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_a_row_whose_best_is_taken_gets_the_next(spark):
+    s = "a struct<id:string,v:string>, b struct<id:string,v:string>, posterior double, _rid_a long, _rid_b long"
+    found = [(1, 11, 0.9), (1, 12, 0.8), (1, 15, 0.75), (2, 11, 0.95), (3, 12, 0.85), (3, 13, 0.7), (4, 13, 0.6), (None, 14, 0.9)]
+    links = spark.createDataFrame([((str(x), "x"), (str(y), "y"), p, x, y) for x, y, p in found], s)
+    assert rows(linkage.one_to_one(links).select("_rid_a", "_rid_b")) == [(1, 15), (2, 11), (3, 12), (4, 13), (None, 14)]
+
+
 def test_a_row_of_nulls_and_lost_rows_are_told(spark):
     a = frame(spark, [("1", "p")])
     with pytest.raises(ConservationError):
