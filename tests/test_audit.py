@@ -265,6 +265,32 @@ def test_level_counts_are_those_of_all_pairs(spark):
     assert set(linkage.level_counts(a, b, ["full_name"], [], ["dob_days"], max_pairs=10)) == {"dob_days"}
 
 
+def test_level_counts_leave_out_no_field_for_its_size(spark):
+    # 51,840,000 pairs of values, which is beyond MAX_PAIRS
+    n = 7200
+    a, b = (spark.range(n).select((F.col("id") + more).alias("x")) for more in (0.0, 0.5))
+    got = linkage.level_counts(a, b, [], [], ["x"], cut_number=1.0)
+    assert got["x"].tolist() == [n * n - (2 * n - 1), 0, 2 * n - 1]
+    names = lambda k, c: spark.range(n).selectExpr(f"concat('{c}', CAST(id + {k} AS string)) AS s")
+    got = linkage.level_counts(names(10000, "aaaaaaaaaaaaaaaa"), names(20000, "bbbbbbbbbbbbbbbb"), ["s"], ["s"], [])
+    assert got["s"].tolist() == [n * n, 0, 0]
+
+
+def test_level_counts_of_odd_values_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["", "a", "aa", "ab", "ba", "anna", "hanna", "\u00e4\u00f6", "\U0001f600x", "\U0001f600y", "\U0001f601\U0001f600", "a1", "1a", "aaaaaaaaaaab", None]
+    words += ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    x = [0.0, -0.0, 1.0, 1.5, 2.0, 3.0, 1e18, 1e18 + 1000, -2.5, float("inf"), float("-inf"), float("nan"), None]
+    a, b = (spark.createDataFrame([(rng.choice(words), rng.choice(x)) for _ in range(120)], "s string, x double") for _ in "ab")
+    pairs = a.select(F.struct("*").alias("a")).crossJoin(b.select(F.struct("*").alias("b")))
+    for cuts in ({}, {"cut": 0.75, "cut_partial": 0.6, "cut_number": 1.0}, {"cut": 0.2, "cut_partial": 0.0, "cut_number": 0.5}, {"cut": 1.0, "cut_number": -1.0}):
+        for partial in (["s"], []):
+            want, got = linkage.gammas(pairs, ["s"], partial, ["x"], **cuts), linkage.level_counts(a, b, ["s"], partial, ["x"], **cuts)
+            for v in "sx":
+                found = {r[0]: r["count"] for r in want.groupBy(f"g_{v}").count().collect()}
+                assert got[v].tolist() == [found.get(k, 0) for k in range(3)], (v, cuts, partial)
+
+
 @pytest.mark.parametrize("name", ["vrmatch", "adjust_vrmatch", "vrmatch_changes", "vrmatch_performance"])
 def test_the_audit_where_linked_rows_have_twins(spark, tmp_path, name):
     import duckdb
